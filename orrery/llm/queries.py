@@ -6,18 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import decontaminate, minhash
+from orrery.llm import chat, decontaminate, minhash, vafile, warc
 from orrery.llm.packing import op10_best_two_fit
 from orrery.llm.token_store import op3_token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_transactions": warc.op1_transactions,
+    "op2_reply_trees": chat.op2_reply_trees,
     "op3_token_store": op3_token_store,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_near_duplicates": minhash.op5_near_duplicates,
+    "op8_va_file": vafile.op8_va_file,
     "op10_best_two_fit": op10_best_two_fit,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_reply_trees": chat.ORACLE,
     "op4_decontamination": decontaminate.ORACLE,
     "op5_near_duplicates": minhash.ORACLE,
+    "op8_va_file": vafile.ORACLE,
 }
