@@ -6,18 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import chat, decontaminate, minhash, vafile, warc
-from orrery.llm.packing import op10_best_two_fit
-from orrery.llm.token_store import op3_token_store
+from orrery.llm import chat, decontaminate, html_text, minhash, packing, token_store, toxicity, url_filter, vafile, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_transactions": warc.op1_transactions,
     "op2_reply_trees": chat.op2_reply_trees,
-    "op3_token_store": op3_token_store,
+    "op3_token_store": token_store.op3_token_store,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_near_duplicates": minhash.op5_near_duplicates,
+    "op6_url_models": url_filter.op6_url_models,
+    "op7_subword_toxicity": toxicity.op7_subword_toxicity,
     "op8_va_file": vafile.op8_va_file,
-    "op10_best_two_fit": op10_best_two_fit,
+    "op9_main_text": html_text.op9_main_text,
+    "op10_best_two_fit": packing.op10_best_two_fit,
 }
 
 ORACLE_SQL: dict[str, str] = {
