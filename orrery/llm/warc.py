@@ -26,7 +26,6 @@ from orrery.llm import common
 SALTS = 32
 DATE = "2024-01-01T00:00:00Z"
 RECORD = "record_id string, type string, concurrent_to string, target string, date string, refers_to string, payload_digest string, payload_bytes long, page_id long, block binary"
-CAPTURE = "record_id string, type string, target string, date string, refers_to string, payload_digest string, payload_bytes long, page_id long"
 
 
 def digest(payload: bytes) -> str:
@@ -147,7 +146,7 @@ def _batch(rows):
 
 def transactions(records: DataFrame) -> DataFrame:
     """One nested row per capture: record_id, capture, request, metadata (array); joined by the concurrent-to identifiers."""
-    body = F.struct("record_id", "type", "target", "date", "refers_to", "payload_digest", "payload_bytes", "page_id", "block")
+    body = F.struct("record_id", "type", "concurrent_to", "target", "date", "refers_to", "payload_digest", "payload_bytes", "page_id", "block")
     key = F.when(F.col("type").isin("response", "revisit"), F.col("record_id")).otherwise(F.col("concurrent_to"))
     main, ask, meta = F.col("type").isin("response", "revisit"), F.col("type") == "request", F.col("type") == "metadata"
     nested = records.withColumn("key", key).where("key is not null").groupBy(F.col("key").alias("capture_id")).agg(
