@@ -6,8 +6,9 @@ posterior probability (uniform prior) that its similarity reaches the threshold
 are confirmed on the full sets.
 
 A bucket is first compared with its smallest member only, so a bucket of m takes m - 1 comparisons and not m * m / 2.
-Members that this leaves in different components are then compared with each other, so no candidate pair is skipped unless
-a chain of confirmed links joins it already.
+What this leaves in different components is then compared in blocks of members: all of a bucket but its largest component
+against all of it, pair by pair inside a task and without writing pairs, each pair in the first bucket it shares. So no
+candidate pair is skipped unless a chain of confirmed links joins it already.
 
 Cases: null texts and texts without words have the empty set, are linked with nothing and form their own component; a text
 of fewer words than a shingle is one shingle; rows that share a doc_id are one vertex; rows without doc_id are returned
@@ -31,6 +32,8 @@ BANDS = HASHES // ROWS
 #: Posterior probability of a link below which a pair is dropped.
 MISS = 1e-9
 _MAX_WORDS = 1_000_000
+#: Members of a bucket that a task holds at once in the comparison by blocks.
+BLOCK = 256
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -127,16 +130,21 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sketch, "doc_id long, n_shingles long, set_a long, set_b long, sig binary")
 
 
+def keys_of(sig: bytes) -> list[int]:
+    """The key of each band of a signature."""
+    import xxhash
+
+    return [xxhash.xxh3_64_intdigest(sig[i * 2 * ROWS : (i + 1) * 2 * ROWS], seed=i + 1) - 2**63 for i in range(BANDS)]
+
+
 def band_keys(reps: DataFrame) -> DataFrame:
     """(key, rep), one row for each band of each signature."""
 
     def bands(batches):
-        import xxhash
-
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                keys = [xxhash.xxh3_64_intdigest(s[i * 2 * ROWS : (i + 1) * 2 * ROWS], seed=i + 1) - 2**63 for s in part.column(1).to_pylist() for i in range(BANDS)]
+                keys = [x for s in part.column(1).to_pylist() for x in keys_of(s)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], names=["key", "rep"])
 
     return reps.select("rep", "sig").mapInArrow(bands, "key long, rep long")
@@ -177,6 +185,106 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percen
     return common.written(full.mapInArrow(compare, "a long, b long"), "links")
 
 
+class Block:
+    """Members of one bucket: ids, components, signatures, band keys, and the sorted hashes of all sets with their owners."""
+
+    def __init__(self, rows: list[dict], hasher: Hasher):
+        self.rows = rows
+        self.ids, self.parts = (np.array([r[x] for r in rows], np.int64) for x in ("rep", "c"))
+        self.rest = np.array([r["rest"] for r in rows], bool)
+        self.sigs = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint16).reshape(-1, HASHES)
+        self.keys = np.array([keys_of(r["sig"]) for r in rows], np.int64)
+        self.sets = [hasher.hashes(r["text"]) for r in rows]
+        self.sizes = np.array([len(x) for x in self.sets], np.int64)
+        every, owner = np.concatenate(self.sets), np.repeat(np.arange(len(rows)), self.sizes)
+        order = np.argsort(every, kind="stable")
+        self.every, self.owner = every[order], owner[order]
+
+    def common(self, hashes: np.ndarray) -> np.ndarray:
+        """How many of the hashes each member has."""
+        lo, hi = (np.searchsorted(self.every, hashes, side) for side in ("left", "right"))
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(self.owner[at], minlength=len(self.rows))
+
+
+def block_links(key: int, left: Block, right: Block, least: list[int], k: int, percent: int) -> list[tuple[int, int]]:
+    """Links between members of a bucket in different components, of those whose first common bucket this is. Left members
+    lie outside the largest component; two such members are compared in one order only."""
+    same = left.keys[:, None, :] == right.keys[None, :, :]
+    first = left.keys[np.arange(len(left.ids))[:, None], same.argmax(axis=2)] == key
+    open_ = same.any(axis=2) & first & (left.parts[:, None] != right.parts[None, :]) & (~right.rest[None, :] | (left.ids[:, None] < right.ids[None, :]))
+    i, j = np.nonzero(open_)
+    stay = survivors(left.sigs[i], right.sigs[j], least)
+    i, j, out = i[stay], j[stay], []
+    for r in np.unique(j).tolist():
+        mine = i[j == r]
+        both = left.common(right.sets[r])[mine]
+        near = mine[(both > 0) & (100 * both >= percent * (left.sizes[mine] + right.sizes[r] - both))]
+        if len(near):
+            b = shingle_set(right.rows[r]["text"], k)
+            for m in near.tolist():
+                a = shingle_set(left.rows[m]["text"], k)
+                n = len(a & b)
+                if n and 100 * n >= percent * (len(a) + len(b) - n):
+                    out.append((int(left.ids[m]), int(right.ids[r])))
+    return out
+
+
+def across_links(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between members (key, rep) of one bucket that labels (rep, c) leave in different components.
+
+    Of a bucket of m members, r of them outside its largest component, r * m pairs are compared, but only about
+    (r * m + m * r) / BLOCK rows are dealt out, to groups of two blocks.
+    """
+    least = least_matches(percent / 100)
+    placed = members.join(labels, "rep", "left").select("key", "rep", F.coalesce("c", "rep").alias("c"))
+    parts = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("key").agg(F.sum("n").alias("m"), F.max(F.struct("n", (-F.col("c")).alias("c"))).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    mixed = mixed.select("key", (-F.col("top.c")).alias("main"), blocks(F.col("m")).alias("columns"), blocks(F.col("m") - F.col("top.n")).alias("lines"))
+    open_ = common.written(placed.join(mixed, "key").withColumn("rest", F.col("c") != F.col("main")), "open")
+    ids = open_.select("rep").distinct()
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(ids, "rep", "left_semi")
+    told = common.written(reps.select("rep", "sig").join(texts, "rep"), "open-texts")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    spot = lambda n: F.pmod(F.xxhash64("rep", "key"), F.col(n)).cast("int")
+    left = open_.where("rest").select("key", spot("lines").alias("line"), every("columns").alias("column"), F.lit(0).alias("side"), "rep", "c", "rest")
+    right = open_.select("key", every("lines").alias("line"), spot("columns").alias("column"), F.lit(1).alias("side"), "rep", "c", "rest")
+    dealt = left.union(right).join(told, "rep").select("key", "line", "column", "side", "rep", "c", "rest", "sig", "text")
+    dealt = dealt.repartition(common.row_parallelism(docs.sparkSession), "key", "line", "column").sortWithinPartitions("key", "line", "column", "side")
+
+    def compare(batches):
+        hasher, group, left, rows, found = Hasher(k), None, [], [], []
+
+        def flush():
+            nonlocal rows
+            if left and rows:
+                if isinstance(left[0], dict):
+                    left[:] = [Block(list(left), hasher)]
+                found.extend(block_links(group[0], left[0], Block(rows, hasher), least, k, percent))
+            rows = []
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                for r in batch.slice(at, 64).to_pylist():
+                    g = (r["key"], r["line"], r["column"])
+                    if g != group:
+                        flush()
+                        group, left = g, []
+                    (rows if r["side"] else left).append(r)
+                    if len(rows) == 64:
+                        flush()
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+                    found = []
+        flush()
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return common.written(dealt.mapInArrow(compare, "a long, b long"), "across")
+
+
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -190,12 +298,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFr
     stars = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     links = confirmed(stars, reps, docs, k, percent)
     labels = common.written(components(links), "components")
-    placed = members.join(labels.toDF("rep", "c"), "rep", "left").select("key", "rep", F.coalesce("c", "rep").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    open_ = common.written(placed.join(mixed, "key"), "open")
-    across = open_.toDF("key", "a", "ca").join(open_.toDF("key", "b", "cb"), "key").where("ca < cb")
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    links = links.union(confirmed(across, reps, docs, k, percent))
+    links = links.union(across_links(members, labels.toDF("rep", "c"), reps, docs, k, percent))
     same = all_.where("n_shingles > 0").join(reps.select("set_a", "set_b", "rep"), ["set_a", "set_b"], "left").where("doc_id <> rep")
     # rows that share a doc_id are one vertex, so classes are joined by their members only where a doc_id is in two of them
     twice = full.select("doc_id", "set_a", "set_b").distinct().groupBy("doc_id").count().where("count > 1").select("doc_id")
