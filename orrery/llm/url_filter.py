@@ -4,9 +4,11 @@ Two variable-order Markov models over bytes (orders 0 to ORDER, each mixed with
 weights) are counted from all URLs that the rules accept and reject. A URL is blocked if its length-normalised log-likelihood
 difference (rejected less accepted, nats a byte) is above a threshold, calibrated on URLs that were left out of the counts:
 the cut with the smallest sum of both error rates. Contexts and their successors are counted in hashed tables of a fixed
-size, so the model is bounded (SLOTS * 2 * 2 counts) while its counts cover every URL.
+fixed size, so the model is bounded (SLOTS * 2 * 2 counts) while its counts cover every URL. The models are counted,
+calibrated and applied on the whole url; host and path serve the rules alone.
 
-Cases: a null URL, or one without "://", has an empty host and path; empty texts have the difference 0; without accepted or
+Cases: a null URL, or one without "://", has an empty host and path; a null or empty URL has the difference 0 and is allowed,
+as nothing speaks against it; without accepted or
 without rejected URLs, or without any to calibrate on, the threshold is 0 or no URL but by rule is blocked; of rules of equal
 length the first in order wins; repeated rows are counted and judged each; an empty table gives no rows; other columns are
 ignored.
@@ -122,8 +124,8 @@ def verdicts(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, difference (null where a rule fits) for every row of pages (page_id, url)."""
     spark = pages.sparkSession
     rows = ruled(pages.select(F.col("page_id").cast("long").alias("page_id"), "url"), rules)
-    text = F.concat("host", "path")
-    known = rows.where("by_rule is not null").select(text.alias("text"), (F.col("by_rule") == "block").cast("int").alias("label"))
+    rows = rows.withColumn("text", F.coalesce("url", F.lit("")))
+    known = rows.where("by_rule is not null").select("text", (F.col("by_rule") == "block").cast("int").alias("label"))
     apart = F.crc32(F.col("text").cast("binary")) % 5 == 0
     table = counts(known.where(~apart))
     usable = bool((table[:, 0].sum(axis=1) > 0).all())
@@ -134,12 +136,12 @@ def verdicts(pages: DataFrame, rules=RULES) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                host, path, verdict = (part.column(i).to_pylist() for i in (1, 2, 4))
-                d = [None if v else difference((h + p).encode("utf-8", "surrogatepass"), model.value) for h, p, v in zip(host, path, verdict)]
-                said = [v or ("block" if x > cut else "allow") for v, x in zip(verdict, d)]
+                verdict, text = (part.column(i).to_pylist() for i in (4, 5))
+                d = [None if v else difference(t.encode("utf-8", "surrogatepass"), model.value) for v, t in zip(verdict, text)]
+                said = [v or ("block" if t and x > cut else "allow") for v, t, x in zip(verdict, text, d)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), pa.array(said, pa.string()), pa.array(d, pa.float64())], names=["page_id", "host", "path", "rule", "verdict", "difference"])
 
-    return rows.select("page_id", "host", "path", "rule", "by_rule").mapInArrow(judge, "page_id long, host string, path string, rule string, verdict string, difference double")
+    return rows.select("page_id", "host", "path", "rule", "by_rule", "text").mapInArrow(judge, "page_id long, host string, path string, rule string, verdict string, difference double")
 
 
 def op6_url_models(spark: SparkSession, sf_dir: str) -> DataFrame:
