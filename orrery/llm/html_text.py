@@ -4,7 +4,9 @@ A page is cut into flat blocks at block-level tags. A block is described by its
 neighbours, and by where it stands (within an article, within page furniture, its own tag). The tree (Gini, exact
 splits) is trained on the blocks of the labelled pages in TRAINING_PAGES, in which main text is marked by a leading "+".
 
-Cases: null and empty pages give an empty text; unclosed comments, scripts and tags reach to the end of the page; a "<" that
+Cases: null and empty pages give an empty text; unclosed comments, raw texts (_RAW: scripts, styles and the like) and tags
+reach to the end of the page; any other unclosed element ends with its parent, and svg and select also before a tag that
+can't stand in them; "/>" ends an svg and the elements in it; texts of formulas stand in their paragraph; a "<" that
 opens no tag is text; line breaks are white space; character references without semicolon are decoded as browsers do;
 rows that repeat a page_id are extracted each; an empty table gives no rows; other columns are ignored.
 """
@@ -24,9 +26,14 @@ from orrery.llm import common
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea select svg math iframe object title".split())
-_FURNITURE = frozenset("nav footer aside form header menu button dialog head figcaption".split())
+_RAW = frozenset("script style textarea iframe title".split())
+_FURNITURE = frozenset("nav footer aside form header menu button dialog head template select option optgroup svg".split())
+_MATH = frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd maction semantics annotation annotation-xml".split())
+#: Elements that may stand within a link, and tags that end an open svg or select.
+_WITHIN = frozenset("template select option optgroup svg noscript object".split())
+_BREAKS = frozenset("article aside blockquote body center dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header li main nav ol p pre section table ul".split())
 _MAIN = frozenset("article main".split())
+_UNQUOTED = re.compile(r"=\s*[^\s\"'>]+\Z")  # such a value ends with its "/"
 _ATTRS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _BAD = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|comments?|reply|replies|respond|sidebar|side|menu|nav\w*|footer|header|breadcrumbs?|cookies?|consent|notice|"
@@ -69,7 +76,11 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool, str]]:
         close, name = m[1], (m[2] or "").lower()
         if not name:
             continue
-        if name in _RAW and not close:
+        if name in _MATH:
+            continue
+        drawn = name == "svg" or any(s[0] == "svg" for s in stack)
+        ended = drawn and not close and m[3].endswith("/") and not _UNQUOTED.search(m[3])
+        if name in _RAW and not close and not ended:
             end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             flush()
             at = end.end() if end else len(page)
@@ -82,13 +93,18 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool, str]]:
             if name in ("span", "label", "a", "b", "i") or name in _VOID or not _BAD.search(" ".join(filter(None, sum(_ATTRS.findall(m[3]), ())))):
                 continue
         flush()
-        state["links"] = 0
+        if not drawn and name not in _WITHIN:
+            state["links"] = 0
         if close:
             if any(s[0] == name for s in stack):
                 while stack.pop()[0] != name:
                     pass
             tag = stack[-1][0] if stack else ""
-        elif name not in _VOID:
+        elif name not in _VOID and not ended:
+            if name in _BREAKS:
+                opened = next((i for i, s in enumerate(stack) if s[0] in ("svg", "select")), None)
+                if opened is not None and all(s[0] != "foreignobject" for s in stack[opened:]):
+                    del stack[opened:]
             if name in _ALONE and stack and stack[-1][0] == name:
                 stack.pop()
             up = stack[-1] if stack else ("", False, False)
