@@ -1,11 +1,15 @@
 """URL verdicts: host and path rules, and for the other URLs a ratio of character language models.
 
 Two variable-order Markov models over bytes (orders 0 to ORDER, each mixed with the next lower one by Witten-Bell-like
-weights) are counted from all URLs that the rules accept and reject. A URL is blocked if its length-normalised log-likelihood
+weights) are counted from the URLs that the rules accept and reject. A URL is blocked if its length-normalised log-likelihood
 difference (rejected less accepted, nats a byte) is above a threshold, calibrated on URLs that were left out of the counts:
-the cut with the smallest sum of both error rates. Contexts and their successors are counted in hashed tables of a fixed
-fixed size, so the model is bounded (SLOTS * 2 * 2 counts) while its counts cover every URL. The models are counted,
-calibrated and applied on the whole url; host and path serve the rules alone.
+the cut with the smallest sum of both error rates. The models are counted, calibrated and applied on the whole url; host and
+path serve the rules alone.
+
+Counts are exact, in tables that grow with the corpus. What a byte adds to the difference is fixed by its gram (itself and the
+ORDER bytes before it), so each gram in use is worked out once, order by order, in joins whose keys have 257 rows at most, and
+a URL is the sum over its grams. Grams that make up more than 1 / HOT of all bytes are sent to the tasks (fewer than HOT rows),
+all others are joined. Sums are of whole numbers, so they don't depend on the order of rows.
 
 Cases: a null URL, or one without "://", has an empty host and path; a null or empty URL has the difference 0 and is allowed,
 as nothing speaks against it; without accepted or
@@ -18,12 +22,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.llm import common
 
-ORDER, SLOTS, ALPHA = 5, 1 << 18, 4.0
+ORDER, ALPHA = 5, 4.0
+#: Grams sent to the tasks; parts of a nat that sums are counted in; bits of a symbol.
+HOT, UNIT, BITS = 1 << 15, 1 << 32, 9
 BINS, SPAN = 4000, 20.0
 #: (verdict, host, path): the host and its subdomains, paths that start with path.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -49,68 +55,88 @@ def ruled(rows: DataFrame, rules=RULES) -> DataFrame:
     return rows.withColumn("rule", rule).withColumn("by_rule", verdict)
 
 
-def slots(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(contexts, successors): slots for each order (rows) and byte."""
-    x = np.frombuffer(text, np.uint8).astype(np.uint64)
-    padded = np.concatenate([np.zeros(ORDER, np.uint64), x + np.uint64(1)])
-    h = np.zeros(len(x), np.uint64)
-    contexts, nexts = [], []
-    for k in range(ORDER + 1):
-        if k:
-            h = (h ^ padded[ORDER - k : ORDER - k + len(x)]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(31)
-        mixed = (h + np.uint64(k)) * np.uint64(0xBF58476D1CE4E5B9)
-        contexts.append((mixed ^ (mixed >> np.uint64(29))) % np.uint64(SLOTS))
-        mixed = (mixed + x + np.uint64(1)) * np.uint64(0x94D049BB133111EB)
-        nexts.append((mixed ^ (mixed >> np.uint64(29))) % np.uint64(SLOTS))
-    return np.array(contexts, np.int64), np.array(nexts, np.int64)
-
-
-def difference(text: bytes, model: np.ndarray) -> float:
-    """Mean log-likelihood under the rejected model less that under the accepted one; model[class, kind, slot]."""
-    if not text:
-        return 0.0
-    contexts, nexts = slots(text)
-    out = []
-    for c in (0, 1):
-        p = np.full(len(text), 1 / 256)
-        for k in range(ORDER + 1):
-            n, m = model[c, 0, contexts[k]], np.minimum(model[c, 1, nexts[k]], model[c, 0, contexts[k]])
-            p = (m + ALPHA * p) / (n + ALPHA)
-        out.append(np.log(p).mean())
-    return float(out[1] - out[0])
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(gram, index of its text) of every byte; the byte itself is lowest (1 to 256), 0 stands for what is before the text."""
+    size = np.array([len(t) for t in texts], np.int64)
+    x = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
+    place = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)
+    gram = x.copy()
+    for k in range(1, ORDER + 1):
+        gram |= np.where(place >= k, np.roll(x, k), 0) << BITS * k
+    return gram, np.repeat(np.arange(len(texts)), size)
 
 
-def counts(labelled: DataFrame) -> np.ndarray:
-    """model[class (0 accepted), kind (0 contexts, 1 successors), slot] from all rows (text, label)."""
+def gram_counts(labelled: DataFrame, asked: DataFrame) -> DataFrame:
+    """gram, n0 (accepted), n1 (rejected) from all rows of labelled (text, label), times from all rows of asked (text); written."""
 
     def count(batches):
-        total = np.zeros((2, 2, SLOTS), np.int64)
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for kind, s in enumerate(slots(text.encode("utf-8", "surrogatepass"))):
-                    np.add.at(total[label, kind], s.ravel(), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total.ravel()[at])], names=["slot", "n"])
-
-    model = np.zeros(4 * SLOTS, np.float64)
-    sums = labelled.select("text", "label").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    found = sums.toArrow()  # at most 4 * SLOTS rows
-    model[found["slot"].to_numpy()] = found["n"].to_numpy()
-    return model.reshape(2, 2, SLOTS)
-
-
-def calibrated(labelled: DataFrame, model) -> float:
-    """The cut with the smallest sum of both error rates over all rows (text, label); counted in BINS bins of SPAN nats."""
-
-    def place(batches):
+            for at in range(0, batch.num_rows, 8192):
+                part = batch.slice(at, 8192)
+                gram, row = grams(part.column(0).to_pylist())
+                kind = part.column(1).to_numpy()[row]
+                found, where = np.unique(gram, return_inverse=True)
+                n = [np.bincount(where, kind == c, len(found)).astype(np.int64) for c in (0, 1, 2)]
+                yield pa.RecordBatch.from_arrays([pa.array(found), *map(pa.array, n)], names=["gram", "n0", "n1", "times"])
+
+    texts = labelled.select(F.col("text").cast("binary").alias("text"), F.col("label").cast("int").alias("label"))
+    texts = texts.unionAll(asked.select(F.col("text").cast("binary"), F.lit(2)))
+    some = texts.mapInArrow(count, "gram long, n0 long, n1 long, times long")
+    return common.written(some.groupBy("gram").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "times"))), "grams")
+
+
+def weights(counted: DataFrame) -> DataFrame:
+    """gram, times, units (log-likelihood under the rejected model less that under the accepted one) of all grams asked for; written."""
+    p = None
+    for k in range(ORDER + 1):
+        level = counted
+        if k < ORDER:
+            level = level.groupBy(F.col("gram").bitwiseAND((1 << BITS * (k + 1)) - 1).alias("gram")).agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "times")))
+        context = Window.partitionBy(F.shiftright("gram", BITS))
+        level = level.select("*", *(F.sum(f"n{c}").over(context).alias(f"all{c}") for c in (0, 1))).where("times > 0")
+        if p is None:
+            level = level.withColumns({"q0": F.lit(1 / 256), "q1": F.lit(1 / 256)})
+        else:
+            level = level.withColumn("lower", F.col("gram").bitwiseAND((1 << BITS * k) - 1)).join(p, "lower")
+        level = level.withColumns({f"p{c}": (F.col(f"n{c}") + ALPHA * F.col(f"q{c}")) / (F.col(f"all{c}") + ALPHA) for c in (0, 1)})
+        p = level.select(F.col("gram").alias("lower"), F.col("p0").alias("q0"), F.col("p1").alias("q1"))
+    return common.written(level.select("gram", "times", F.round((F.log("p1") - F.log("p0")) * UNIT).cast("long").alias("units")), "weights")
+
+
+def differences(asked: DataFrame, labelled: DataFrame) -> DataFrame:
+    """row, difference (a byte) of every row of asked (row, text) under the models of labelled (text, label); written."""
+    found = weights(gram_counts(labelled, asked))
+    total = found.agg(F.sum("times")).first()[0] or 0
+    often = F.col("times") * HOT > total
+    hot = found.where(often).select("gram", "units").orderBy("gram").toArrow()  # fewer than HOT rows
+    sent = asked.sparkSession.sparkContext.broadcast((hot["gram"].to_numpy(), hot["units"].to_numpy()))
+
+    def look(batches):
+        keys, units = sent.value
         for batch in batches:
-            d = [difference(t.encode("utf-8", "surrogatepass"), model.value) for t in batch.column(0).to_pylist()]
-            at = np.clip((np.array(d, float) / SPAN + 0.5) * BINS, 0, BINS - 1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(at), batch.column(1)], names=["bin", "label"])
-
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                row = part.column(0).to_numpy()
+                gram, i = grams(part.column(1).to_pylist())
+                place = np.minimum(np.searchsorted(keys, gram), max(len(keys) - 1, 0))
+                here = keys[place] == gram if len(keys) else np.zeros(len(gram), bool)
+                known = np.zeros(len(row), np.int64)
+                np.add.at(known, i[here], units[place[here]])
+                # a row's own sum has a key of its own that is no gram
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ((row, row[i[~here]]), (-1 - row, gram[~here]), (known, np.zeros((~here).sum(), np.int64)))], names=["row", "gram", "known"])
+
+    parts_ = asked.select("row", F.col("text").cast("binary").alias("text")).mapInArrow(look, "row long, gram long, known long")
+    sums = parts_.join(found.where(~often).select("gram", "units"), "gram", "left").groupBy("row").agg(F.sum(F.col("known") + F.coalesce("units", F.lit(0))).alias("sum"))
+    size = F.octet_length("text")
+    value = F.when(size > 0, F.col("sum") / UNIT / size).otherwise(0.0)
+    return common.written(asked.join(sums, "row").select("row", value.alias("difference")), "differences")
+
+
+def calibrated(judged: DataFrame) -> float:
+    """The cut with the smallest sum of both error rates over all rows (difference, label); counted in BINS bins of SPAN nats."""
+    at = F.least(F.greatest((F.col("difference") / SPAN + 0.5) * BINS, F.lit(0.0)), F.lit(BINS - 1.0)).cast("int")
     table = np.zeros((2, BINS))
-    for b, label, n in labelled.select("text", "label").mapInArrow(place, "bin int, label int").groupBy("bin", "label").count().collect():
+    for b, label, n in judged.select(at.alias("bin"), "label").groupBy("bin", "label").count().collect():
         table[label, b] = n
     if not table.sum(axis=1).all():
         return 0.0
@@ -122,26 +148,20 @@ def calibrated(labelled: DataFrame, model) -> float:
 
 def verdicts(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, difference (null where a rule fits) for every row of pages (page_id, url)."""
-    spark = pages.sparkSession
     rows = ruled(pages.select(F.col("page_id").cast("long").alias("page_id"), "url"), rules)
-    rows = rows.withColumn("text", F.coalesce("url", F.lit("")))
-    known = rows.where("by_rule is not null").select("text", (F.col("by_rule") == "block").cast("int").alias("label"))
+    rows = rows.withColumns({"text": F.coalesce("url", F.lit("")), "label": (F.col("by_rule") == "block").cast("int"), "row": F.monotonically_increasing_id()})
+    rows = common.written(rows.drop("url"), "urls")
+    known, open_ = rows.where("label is not null"), rows.where("label is null")
     apart = F.crc32(F.col("text").cast("binary")) % 5 == 0
-    table = counts(known.where(~apart))
-    usable = bool((table[:, 0].sum(axis=1) > 0).all())
-    model = spark.sparkContext.broadcast(table.astype(np.float32))  # 4 * SLOTS * 4 bytes
-    cut = calibrated(known.where(apart), model) if usable else float("inf")
-
-    def judge(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                verdict, text = (part.column(i).to_pylist() for i in (4, 5))
-                d = [None if v else difference(t.encode("utf-8", "surrogatepass"), model.value) for v, t in zip(verdict, text)]
-                said = [v or ("block" if t and x > cut else "allow") for v, t, x in zip(verdict, text, d)]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), pa.array(said, pa.string()), pa.array(d, pa.float64())], names=["page_id", "host", "path", "rule", "verdict", "difference"])
-
-    return rows.select("page_id", "host", "path", "rule", "by_rule", "text").mapInArrow(judge, "page_id long, host string, path string, rule string, verdict string, difference double")
+    model = known.where(~apart)
+    usable = model.where("text != ''").select("label").distinct().count() == 2
+    found = differences(open_.unionAll(known.where(apart)), model)
+    cut = calibrated(known.where(apart).join(found, "row")) if usable else float("inf")
+    said = F.when((F.col("text") != "") & (F.col("difference") > cut), "block").otherwise("allow")
+    judged = rows.join(found, "row", "left")
+    return judged.select(
+        "page_id", "host", "path", "rule", F.coalesce("by_rule", said).alias("verdict"), F.when(F.col("label").isNull(), F.col("difference")).alias("difference")
+    )
 
 
 def op6_url_models(spark: SparkSession, sf_dir: str) -> DataFrame:
