@@ -1,10 +1,10 @@
 """URL verdicts: host and path rules, and for the other URLs a ratio of character language models.
 
 Two variable-order Markov models over bytes (orders 0 to ORDER, each mixed with the next lower one by Witten-Bell-like
-weights) are counted from the URLs that the rules accept and reject. A URL is blocked if its length-normalised log-likelihood
-difference (rejected less accepted, nats a byte) is above a threshold, calibrated on URLs that were left out of the counts:
-the cut with the smallest sum of both error rates. The models are counted, calibrated and applied on the whole url; host and
-path serve the rules alone.
+weights) are counted from all URLs that the rules accept and reject. A URL is blocked if its length-normalised log-likelihood
+difference (rejected less accepted, nats a byte) is above a threshold: the cut with the smallest sum of both error rates on a
+fifth of these URLs (by hash of the url) under models counted from the others alone. The models are counted, calibrated and
+applied on the whole url; host and path serve the rules alone.
 
 Counts are exact, in tables that grow with the corpus. What a byte adds to the difference is fixed by its gram (itself and the
 ORDER bytes before it), so each gram in use is worked out once, order by order, in joins whose keys have 257 rows at most, and
@@ -12,9 +12,8 @@ a URL is the sum over its grams. Grams that make up more than 1 / HOT of all byt
 all others are joined. Sums are of whole numbers, so they don't depend on the order of rows.
 
 Cases: a null URL, or one without "://", has an empty host and path; a null or empty URL has the difference 0 and is allowed,
-as nothing speaks against it; without accepted or
-without rejected URLs, or without any to calibrate on, the threshold is 0 or no URL but by rule is blocked; of rules of equal
-length the first in order wins; repeated rows are counted and judged each; an empty table gives no rows; other columns are
+as nothing speaks against it; without accepted or without rejected URLs no URL but by rule is blocked; without either of them
+in the fifth or in the others the threshold is 0; of rules of equal length the first in order wins; repeated rows are counted and judged each; an empty table gives no rows; other columns are
 ignored.
 """
 
@@ -153,10 +152,10 @@ def verdicts(pages: DataFrame, rules=RULES) -> DataFrame:
     rows = common.written(rows.drop("url"), "urls")
     known, open_ = rows.where("label is not null"), rows.where("label is null")
     apart = F.crc32(F.col("text").cast("binary")) % 5 == 0
-    model = known.where(~apart)
-    usable = model.where("text != ''").select("label").distinct().count() == 2
-    found = differences(open_.unionAll(known.where(apart)), model)
-    cut = calibrated(known.where(apart).join(found, "row")) if usable else float("inf")
+    held, kept = known.where(apart), known.where(~apart)
+    both = lambda some: some.where("text != ''").select("label").distinct().count() == 2
+    cut = float("inf") if not both(known) else calibrated(held.join(differences(held, kept), "row")) if both(kept) else 0.0
+    found = differences(open_, known)
     said = F.when((F.col("text") != "") & (F.col("difference") > cut), "block").otherwise("allow")
     judged = rows.join(found, "row", "left")
     return judged.select(

@@ -42,3 +42,13 @@ def test_differences_are_those_of_exact_counts(spark, monkeypatch, hot):
     known = [(u.encode(), i % 2) for i, u in rows[:120]]
     want = sorted((i, difference((u or "").encode(), known)) for i, u in rows[120:])
     assert np.allclose(np.array(sorted((r["page_id"], r["difference"]) for r in got if r["difference"] is not None)), np.array(want), atol=1e-8)
+
+
+def test_held_out_urls_are_counted_in_the_end(spark):
+    urls = [(f"http://a.{'net' if i % 2 else 'org'}/fr/{i}", i % 2) for i in range(200)]
+    common = next(u for u in (f"http://often.net/buy/{i}" for i in range(99)) if crc32(u.encode()) % 5 == 0)  # one url of a third of the rows
+    known = urls + [(common, 1)] * 100
+    rows = [(i, u) for i, (u, _) in enumerate(known)] + [(1000, "http://x.edu/often/buy")]
+    got = url_filter.verdicts(spark.createDataFrame(rows, "page_id long, url string")).where("page_id = 1000").first()
+    want = difference(rows[-1][1].encode(), [(u.encode(), label) for u, label in known])
+    assert abs(got["difference"] - want) < 1e-8 and got["verdict"] == "block"
