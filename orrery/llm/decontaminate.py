@@ -76,11 +76,13 @@ def positional_index(table: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def alignments(index: DataFrame, pairs: DataFrame, slop: int = 0) -> DataFrame:
-    """row, item, shift: where the first word of an item would stand in a row, by both probes (the second one within slop)."""
+    """row, item, shift: where the first word of an item would stand in a row, by both probes (each of them within slop)."""
     first = pairs.join(index.toDF("t1", "row", "places"), "t1")
     first = first.select("item", "row", "t2", (F.col("p2") - F.col("p1")).alias("far"), "p1", F.explode("places").alias("place"))
     second = index.toDF("t2", "row", "others")
     want = F.col("place") + F.col("far")
+    if slop:  # the rarest term may be off its own place as well
+        first = first.withColumn("off", F.explode(F.sequence(F.lit(-slop), F.lit(slop)))).withColumn("place", F.col("place") + F.col("off")).drop("off")
     near = F.array_contains("others", want) if slop == 0 else F.exists("others", lambda x: F.abs(x - want) <= slop)
     return first.join(second, ["t2", "row"]).where(near).select("row", "item", (F.col("place") - F.col("p1")).alias("shift")).distinct()
 
@@ -89,7 +91,7 @@ def phrase_matches(table: DataFrame, windows: DataFrame, n: int = 10, slop: int
     """row, item, shift, hit: places (array) of the row's words inside occurrences of the item's windows.
 
     With a slop, each word of a window may stand up to ``slop`` words away from its own place, and hit holds the whole
-    stretch between the first and the last place of such a window.
+    stretch between the first and the last place where one of the window's words so stands.
     """
     counts = term_counts(table, common.written(windows.select(F.explode("window").alias("term")).distinct(), "vocabulary"))
     pairs = probes(windows, counts)
@@ -102,8 +104,12 @@ def phrase_matches(table: DataFrame, windows: DataFrame, n: int = 10, slop: int
     if slop == 0:
         same = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.coalesce(F.get("words", F.col("shift") + i) == F.get("want", i), F.lit(False)))
     else:
-        around = lambda i: F.slice("words", F.greatest(F.col("shift") + i - slop, F.lit(0)) + 1, F.greatest(F.least(F.col("shift") + i + slop, F.size("words") - 1) - F.greatest(F.col("shift") + i - slop, F.lit(0)) + 1, F.lit(0)))
-        same = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.array_contains(around(i), F.get("want", i)))
+        low = lambda i: F.greatest(F.col("shift") + i - slop, F.lit(0))
+        high = lambda i: F.least(F.col("shift") + i + slop, F.size("words") - 1)
+        around = lambda i: F.when(low(i) <= high(i), F.sequence(low(i), high(i))).otherwise(F.array().cast("array<int>"))
+        spots = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.filter(around(i), lambda p: F.get("words", p) == F.get("want", i)))
+        both = both.withColumn("spots", spots)
+        same = F.transform("spots", lambda x: F.size(x) > 0)
     wide = F.least(size, F.lit(n))
     # runs of equal words: the length of the run that ends at each place, then every place of runs as long as a window
     runs = F.aggregate("same", F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.when(x, F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + 1).otherwise(0))))
@@ -111,7 +117,11 @@ def phrase_matches(table: DataFrame, windows: DataFrame, n: int = 10, slop: int
     ends = F.filter(F.sequence(F.lit(0), size - 1), lambda i: F.get("runs", i) >= F.col("wide"))
     covered = F.flatten(F.transform("ends", lambda e: F.sequence(e - F.col("wide") + 1, e)))
     hit = hit.withColumn("ends", ends).where(F.size("ends") > 0)
-    places = F.filter(F.transform(F.array_distinct(covered), lambda i: i + F.col("shift")), lambda p: (p >= 0) & (p < F.size("words")))
+    if slop == 0:
+        places = F.filter(F.transform(F.array_distinct(covered), lambda i: i + F.col("shift")), lambda p: (p >= 0) & (p < F.size("words")))
+    else:
+        stood = lambda e: F.flatten(F.slice("spots", e - F.col("wide") + 2, F.col("wide")))
+        places = F.array_distinct(F.flatten(F.transform("ends", lambda e: F.sequence(F.array_min(stood(e)), F.array_max(stood(e))))))
     return hit.select("row", "item", "shift", places.alias("hit"))
 
 
