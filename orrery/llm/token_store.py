@@ -47,23 +47,37 @@ def _dictionary(data: bytes):
 
 
 def sample_ids(docs: DataFrame, tokenizer: str, width: int, rows: int, chars: int) -> list[bytes]:
-    """Serialized ids of a bounded sample: the first ``rows`` texts that Spark reads, each of at most ``chars`` characters."""
-    texts = [r[0] for r in docs.where((F.length("text") > 0) & (F.length("text") <= chars)).select("text").limit(rows).collect()]
+    """Serialized ids of a bounded sample: of all texts of at most ``chars`` characters the ``rows`` ones of the smallest hashes."""
+    some = docs.where((F.length("text") > 0) & (F.length("text") <= chars)).withColumn("h", F.xxhash64("doc_id", "text"))
+    last = some.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]  # hashes alone are sorted
+    if last is None:
+        return []
+    texts = [r[0] for r in some.where(F.col("h") <= last).select("text", "h").orderBy("h", "text").limit(rows).collect()]
     return [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() for x in encoder(tokenizer).encode(texts)]
 
 
+def width_of(tokenizer: str, end_id: int, width: int | None = None) -> int:
+    """Bytes of an id: ``width``, or (None) the least that holds the tokenizer's ids and ``end_id``; raises where they don't fit."""
+    most = max([end_id, *encoder(tokenizer).tokenizer.get_vocab(with_added_tokens=True).values()])
+    width = width or (2 if most < 1 << 16 else 4)
+    if width not in (2, 4) or end_id < 0 or most >= 1 << 8 * width:
+        raise ValueError(f"ids up to {most} (end id {end_id}) don't fit {width} bytes")
+    return width
+
+
 def write_shards(
-    docs: DataFrame, path: str, *, tokenizer: str | None = None, end_id: int = 2, width: int = 2, level: int = 3,
+    docs: DataFrame, path: str, *, tokenizer: str | None = None, end_id: int = 2, width: int | None = None, level: int = 3,
     shards: int | None = None, sample_rows: int = 1000, sample_chars: int = 20_000,
 ) -> DataFrame:
     """Writes the shards under ``path`` and returns the index table, one row per document: doc_id, shard, path, place,
     bytes, n_tokens, shard_start (ids before it in its shard), dict_sha256.
 
-    The dictionary is fitted on a bounded sample (``sample_rows`` texts of up to ``sample_chars``); every document is
-    written. Only compressed frames are shuffled, once, to ranges of doc_id.
+    The dictionary is fitted on a bounded sample (``sample_rows`` texts of up to ``sample_chars``, by hash from all rows);
+    every document is written. Without a ``width``, ids have 2 bytes where all of them fit, else 4. Only compressed frames are shuffled, once, to ranges of doc_id.
     """
     spark, tokenizer = docs.sparkSession, tokenizer or default_tokenizer()
     docs = docs.select("doc_id", "text")
+    width = width_of(tokenizer, end_id, width)
     data = train_dictionary(sample_ids(docs, tokenizer, width, sample_rows, sample_chars))
     sha = hashlib.sha256(data).digest() if data else bytes(32)
     shards = shards or max(1, docs.rdd.getNumPartitions())
