@@ -13,6 +13,7 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import re
 from zlib import crc32
 
@@ -69,7 +70,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarr
         own = [seen[w] for w in count] or [np.zeros(0, np.int64)]
         share = np.repeat([c / max(len(seen[w]), 1) for w, c in count.items()], [len(seen[w]) for w in count])
         used, at = np.unique(np.concatenate(own), return_inverse=True)
-        bags.append((used, np.bincount(at, share, len(used)) / max(sum(count.values()), 1)))
+        bags.append((used.astype(np.int32), (np.bincount(at, share, len(used)) / max(sum(count.values()), 1)).astype(np.float32)))
     with_, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for (used, _), t in zip(bags, y):
         with_[used] += 1
@@ -126,13 +127,30 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(common.crc32_of(doc_id) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Scorer:
-    """The model of labelled documents outside the held-out fold: at most ``rows`` of each class of at most ``chars``
-    characters, those of the smallest hashes of their doc_id."""
+def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(text, toxic), written: of each class the ``rows`` documents of the smallest hashes of their doc_id, held-out ones and
+    texts that are empty or longer than ``chars`` left out.
+
+    Only ids and labels are joined and ordered. A class of n documents is thinned by its hashes to about 2 * rows before it is
+    ordered, so what the tasks send doesn't grow with the corpus; the at most 2 * rows chosen ids then fetch their texts.
+    """
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
-    texts = docs.select("doc_id", "text").where((F.length("text") > 0) & (F.length("text") <= chars) & ~held_out(F.col("doc_id")))
-    both = texts.join(marks, "doc_id").select("text", "toxic", F.xxhash64("doc_id").alias("h"))
-    some = [r for c in (0, 1) for r in both.where(F.col("toxic") == c).orderBy("h", "text").limit(rows).select("text", "toxic").collect()]
+    usable = docs.where((F.length("text") > 0) & (F.length("text") <= chars) & ~held_out(F.col("doc_id")))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 33)
+    known = common.written(usable.select("doc_id").distinct().join(marks, "doc_id").select("doc_id", "toxic", place.alias("h")), "labelled")
+    found = dict(known.groupBy("toxic").count().collect())
+    parts = [known.where((F.col("toxic") == c) & (F.col("h") < int(min(1.0, 2 * rows / n) * 2**31))).orderBy("h", "doc_id").limit(rows) for c, n in sorted(found.items())]
+    if not parts:
+        return known.select(F.lit("").alias("text"), "toxic")
+    chosen = common.written(functools.reduce(DataFrame.union, parts).select("doc_id", "toxic"), "chosen")
+    texts = usable.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return common.written(texts.select("text", "toxic"), "sample")
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Scorer:
+    """The model of labelled documents outside the held-out fold: at most ``rows`` of each class of at most ``chars`` characters,
+    those of the smallest hashes of their doc_id; of rows that share one, the least text."""
+    some = sorted(tuple(r) for r in sample(docs, labels, rows, chars).collect())
     y = np.array([r[1] for r in some], float)
     if len(set(y)) < 2:
         share = float(np.clip(y.mean() if len(y) else 0.0, 1e-9, 1 - 1e-9))
