@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -46,6 +47,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A key with more than one in SHARES of the rows, and with more than LEAST_HOT, is dealt over several tasks by skew_join.
+SHARES, LEAST_HOT = 1000, 256
+
+
+def skew_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """left joined with right (columns named in ``on``) where one key may hold a large share of left's rows.
+
+    Rows of a hot key get one of ceil(rows / limit) salts, and right's rows of that key are repeated for each. Fewer than
+    SHARES keys can be hot and they have fewer than 2 * SHARES salts in all, so what is broadcast and repeated is bounded
+    at any size. ``left`` is read twice: give a written table, or ``counts`` (on, n) of it.
+    """
+    on = [on] if isinstance(on, str) else on
+    if counts is None:
+        counts = left.where(functools.reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in on))).groupBy(*on).agg(F.count("*").alias("n"))
+    counts = written(counts.select(*on, "n").where(F.col("n") > LEAST_HOT), "hot")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    limit = max(LEAST_HOT, -(-total // SHARES))
+    hot = counts.where(F.col("n") > limit).select(*on, F.ceil(F.col("n") / limit).cast("int").alias("__salts")).collect()
+    if not hot:
+        return left.join(right, on, how)
+    keys = F.broadcast(left.sparkSession.createDataFrame(hot, counts.select(*on, F.lit(0).alias("__salts")).schema))
+    salt = F.coalesce(F.floor(F.rand(11) * F.col("__salts")).cast("int"), F.lit(0))
+    dealt = left.join(keys, on, "left").withColumn("__salt", salt).drop("__salts")
+    copies = right.join(keys, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+    return dealt.join(copies, [*on, "__salt"], how).drop("__salt")
+
+
 def crc32_of(column) -> "F.Column":
     return F.crc32(column.cast("string").cast("binary"))
 

@@ -7,8 +7,13 @@ are confirmed on the full sets.
 
 A bucket is first compared with its smallest member only, so a bucket of m takes m - 1 comparisons and not m * m / 2.
 What this leaves in different components is then compared in blocks of members: all of a bucket but its largest component
-against all of it, pair by pair inside a task and without writing pairs, each pair in the first bucket it shares. So no
-candidate pair is skipped unless a chain of confirmed links joins it already.
+against all of it but the smallest member, each pair in the first bucket it shares. Signatures alone are dealt out for
+that, pair by pair inside a task; texts follow only for the pairs that they leave. So no candidate pair is skipped unless
+a chain of confirmed links joins it already. A hot bucket, hub or class is dealt over several tasks.
+
+Two probabilities of a miss: a pair at the threshold 0.8 shares no band with (1 - 0.8 ** 6) ** 42 = 2.8e-6 (less above
+it), and its signatures rule it out with 1e-9. Sets are counted, and classes of equal sets found, by 64-bit hashes of the
+shingles and a 128-bit hash of a set; links between classes are confirmed on the shingles themselves.
 
 Cases: null texts and texts without words have the empty set, are linked with nothing and form their own component; a text
 of fewer words than a shingle is one shingle; rows that share a doc_id are one vertex; rows without doc_id are returned
@@ -177,26 +182,123 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percen
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in links], pa.int64()) for x in ids], names=["a", "b"])
 
     sig = reps.select("rep", "sig")
-    both = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+    both = common.skew_join(pairs, sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     kept = common.written(both.mapInArrow(screen, "a long, b long"), "survivors")
-    ids = kept.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = common.written(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), "texts")
-    full = kept.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb").sortWithinPartitions("a")
+    texts = texts_of(docs, kept.select(F.explode(F.array("a", "b")).alias("rep")))
+    # the hub's text comes second, so it is dealt to a hot hub's tasks and not shipped with every pair
+    other = common.written(kept.join(texts.toDF("b", "tb"), "b"), "other-texts")
+    full = common.skew_join(other, texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
     return common.written(full.mapInArrow(compare, "a long, b long"), "links")
 
 
-class Block:
-    """Members of one bucket: ids, components, signatures, band keys, and the sorted hashes of all sets with their owners."""
+def texts_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, text), written, of the documents in reps (rep); a row for each text of a shared doc_id."""
+    found = docs.select(F.col("doc_id").alias("rep"), "text").join(reps.distinct(), "rep", "left_semi")
+    return common.written(found, "texts")
 
-    def __init__(self, rows: list[dict], hasher: Hasher):
-        self.rows = rows
+
+def first_shared(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, line, column, side, rep, c, rest): members of a bucket but its hub, dealt to groups of two blocks.
+
+    Of a bucket with m such members, r of them outside its largest component, r * m pairs come together in a group, but only
+    about (r * m + m * r) / BLOCK rows are dealt out. Buckets whose members but the hub are in one component have none.
+    """
+    placed = members.where("rep <> hub").join(labels, "rep", "left").select("key", "rep", F.coalesce("c", "rep").alias("c"))
+    placed = common.written(placed, "placed")
+    parts = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("key").agg(F.sum("n").alias("m"), F.max(F.struct("n", (-F.col("c")).alias("c"))).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    mixed = mixed.select("key", (-F.col("top.c")).alias("main"), blocks(F.col("m")).alias("columns"), blocks(F.col("m") - F.col("top.n")).alias("lines"))
+    open_ = common.written(common.skew_join(placed, mixed, "key").withColumn("rest", F.col("c") != F.col("main")), "open")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    spot = lambda n: F.pmod(F.xxhash64("rep", "key"), F.col(n)).cast("int")
+    left = open_.where("rest").select("key", spot("lines").alias("line"), every("columns").alias("column"), F.lit(0).alias("side"), "rep", "c", "rest")
+    right = open_.select("key", every("lines").alias("line"), spot("columns").alias("column"), F.lit(1).alias("side"), "rep", "c", "rest")
+    return left.union(right)
+
+
+class Members:
+    """Members of a group's side: ids, components, signatures and band keys."""
+
+    def __init__(self, rows: list[dict]):
         self.ids, self.parts = (np.array([r[x] for r in rows], np.int64) for x in ("rep", "c"))
         self.rest = np.array([r["rest"] for r in rows], bool)
         self.sigs = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint16).reshape(-1, HASHES)
         self.keys = np.array([keys_of(r["sig"]) for r in rows], np.int64)
-        self.sets = [hasher.hashes(r["text"]) for r in rows]
-        self.sizes = np.array([len(x) for x in self.sets], np.int64)
-        every, owner = np.concatenate(self.sets), np.repeat(np.arange(len(rows)), self.sizes)
+
+
+def open_pairs(key: int, left: Members, right: Members, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of left and right that their signatures leave as candidates, of those in different components whose first common
+    bucket this is. Left members lie outside the largest component; two such members are compared in one order only."""
+    same = left.keys[:, None, :] == right.keys[None, :, :]
+    first = left.keys[np.arange(len(left.ids))[:, None], same.argmax(axis=2)] == key
+    open_ = same.any(axis=2) & first & (left.parts[:, None] != right.parts[None, :]) & (~right.rest[None, :] | (left.ids[:, None] < right.ids[None, :]))
+    i, j = np.nonzero(open_)
+    stay = survivors(left.sigs[i], right.sigs[j], least)
+    return i[stay], j[stay]
+
+
+def groups(batches, flush_at: int):
+    """((key, line, column), side, rows) of rows sorted by them, at most ``flush_at`` rows of side 1 at once."""
+    group, rows = None, []
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            for r in batch.slice(at, 64).to_pylist():
+                g = (r["key"], r["line"], r["column"], r["side"])
+                if g != group or (r["side"] and len(rows) == flush_at):
+                    if rows:
+                        yield group[:3], group[3], rows
+                    group, rows = g, []
+                rows.append(r)
+    if rows:
+        yield group[:3], group[3], rows
+
+
+def screened(dealt: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(key, line, column, side, rep, c, partners): the candidates that signatures leave, packed by group: each right member
+    (side 1) with the left members that it is to be compared with, and each of those left members (side 0) once. Only
+    signatures are dealt out for it, no texts."""
+    least = least_matches(percent / 100)
+    sent = dealt.join(reps.select("rep", "sig"), "rep")
+    sent = sent.repartition(common.row_parallelism(dealt.sparkSession), "key", "line", "column").sortWithinPartitions("key", "line", "column", "side")
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+
+    def rows_of(group, side, ids, parts, partners):
+        columns = [*([x] * len(ids) for x in (*group, side)), ids, parts, partners]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=["key", "line", "column", "side", "rep", "c", "partners"])
+
+    def screen(batches):
+        at, left, used = None, None, np.zeros(0, bool)
+        for group, side, rows in groups(batches, 64):
+            if side == 0:
+                if used.any():
+                    yield rows_of(at, 0, left.ids[used], left.parts[used], [None] * int(used.sum()))
+                at, left = group, Members(rows)
+                used = np.zeros(len(rows), bool)
+            elif at == group:
+                right = Members(rows)
+                i, j = open_pairs(group[0], left, right, least)
+                if len(i):
+                    used[i] = True
+                    found = np.unique(j)
+                    yield rows_of(group, 1, right.ids[found], right.parts[found], [left.ids[i[j == x]].tolist() for x in found])
+        if used.any():
+            yield rows_of(at, 0, left.ids[used], left.parts[used], [None] * int(used.sum()))
+
+    return common.written(sent.mapInArrow(screen, "key long, line int, column int, side int, rep long, c long, partners array<long>"), "open-pairs")
+
+
+class Sets:
+    """Texts of a group's left members, and the sorted hashes of all their sets with their owners."""
+
+    def __init__(self, rows: list[dict], hasher: Hasher):
+        self.at: dict[int, list[int]] = {}
+        for i, r in enumerate(rows):
+            self.at.setdefault(r["rep"], []).append(i)
+        self.texts, self.parts = [r["text"] for r in rows], [r["c"] for r in rows]
+        sets = [hasher.hashes(t) for t in self.texts]
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        every, owner = np.concatenate(sets), np.repeat(np.arange(len(rows)), self.sizes)
         order = np.argsort(every, kind="stable")
         self.every, self.owner = every[order], owner[order]
 
@@ -205,84 +307,52 @@ class Block:
         lo, hi = (np.searchsorted(self.every, hashes, side) for side in ("left", "right"))
         n = hi - lo
         at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return np.bincount(self.owner[at], minlength=len(self.rows))
+        return np.bincount(self.owner[at], minlength=len(self.texts))
 
 
-def block_links(key: int, left: Block, right: Block, least: list[int], k: int, percent: int) -> list[tuple[int, int]]:
-    """Links between members of a bucket in different components, of those whose first common bucket this is. Left members
-    lie outside the largest component; two such members are compared in one order only."""
-    same = left.keys[:, None, :] == right.keys[None, :, :]
-    first = left.keys[np.arange(len(left.ids))[:, None], same.argmax(axis=2)] == key
-    open_ = same.any(axis=2) & first & (left.parts[:, None] != right.parts[None, :]) & (~right.rest[None, :] | (left.ids[:, None] < right.ids[None, :]))
-    i, j = np.nonzero(open_)
-    stay = survivors(left.sigs[i], right.sigs[j], least)
-    i, j, out = i[stay], j[stay], []
-    for r in np.unique(j).tolist():
-        mine = i[j == r]
-        both = left.common(right.sets[r])[mine]
-        near = mine[(both > 0) & (100 * both >= percent * (left.sizes[mine] + right.sizes[r] - both))]
-        if len(near):
-            b = shingle_set(right.rows[r]["text"], k)
-            for m in near.tolist():
-                a = shingle_set(left.rows[m]["text"], k)
+def group_links(left: Sets, right: list[dict], hasher: Hasher, k: int, percent: int) -> list[tuple[int, int]]:
+    """Links (a, b) of right rows (rep, text, c, partners: ids of the left side), but none between components that links of
+    this call have joined already."""
+    up: dict[int, int] = {}
+
+    def root(x):
+        while (y := up.get(x, x)) != x:
+            x = y
+        return x
+
+    out = []
+    for r in right:
+        mine = hasher.hashes(r["text"])
+        both, b = left.common(mine), None
+        for p, i in ((p, i) for p in r["partners"] for i in left.at[p]):
+            if both[i] and 100 * both[i] >= percent * (left.sizes[i] + len(mine) - both[i]) and root(left.parts[i]) != root(r["c"]):
+                b = shingle_set(r["text"], k) if b is None else b
+                a = shingle_set(left.texts[i], k)
                 n = len(a & b)
                 if n and 100 * n >= percent * (len(a) + len(b) - n):
-                    out.append((int(left.ids[m]), int(right.ids[r])))
+                    up[root(left.parts[i])] = root(r["c"])
+                    out.append((p, r["rep"]))
     return out
 
 
 def across_links(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between members (key, rep) of one bucket that labels (rep, c) leave in different components.
-
-    Of a bucket of m members, r of them outside its largest component, r * m pairs are compared, but only about
-    (r * m + m * r) / BLOCK rows are dealt out, to groups of two blocks.
-    """
-    least = least_matches(percent / 100)
-    placed = members.join(labels, "rep", "left").select("key", "rep", F.coalesce("c", "rep").alias("c"))
-    parts = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("key").agg(F.sum("n").alias("m"), F.max(F.struct("n", (-F.col("c")).alias("c"))).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    mixed = mixed.select("key", (-F.col("top.c")).alias("main"), blocks(F.col("m")).alias("columns"), blocks(F.col("m") - F.col("top.n")).alias("lines"))
-    open_ = common.written(placed.join(mixed, "key").withColumn("rest", F.col("c") != F.col("main")), "open")
-    ids = open_.select("rep").distinct()
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(ids, "rep", "left_semi")
-    told = common.written(reps.select("rep", "sig").join(texts, "rep"), "open-texts")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    spot = lambda n: F.pmod(F.xxhash64("rep", "key"), F.col(n)).cast("int")
-    left = open_.where("rest").select("key", spot("lines").alias("line"), every("columns").alias("column"), F.lit(0).alias("side"), "rep", "c", "rest")
-    right = open_.select("key", every("lines").alias("line"), spot("columns").alias("column"), F.lit(1).alias("side"), "rep", "c", "rest")
-    dealt = left.union(right).join(told, "rep").select("key", "line", "column", "side", "rep", "c", "rest", "sig", "text")
-    dealt = dealt.repartition(common.row_parallelism(docs.sparkSession), "key", "line", "column").sortWithinPartitions("key", "line", "column", "side")
+    """Links (a, b) between members (key, rep, hub) of one bucket that labels (rep, c) leave in different components. Pairs with
+    the hub have been compared before. Texts are fetched only for pairs that the signatures leave, once for a group."""
+    group = ["key", "line", "column"]
+    dealt = screened(first_shared(members, labels), reps, percent)
+    sent = dealt.join(texts_of(docs, dealt.select("rep")), "rep")
+    sent = sent.repartition(common.row_parallelism(docs.sparkSession), *group).sortWithinPartitions(*group, "side")
 
     def compare(batches):
-        hasher, group, left, rows, found = Hasher(k), None, [], [], []
+        hasher, at, left = Hasher(k), None, None
+        for group, side, rows in groups(batches, 64):
+            if side == 0:
+                at, left = group, Sets(rows, hasher)
+            elif at == group:
+                found = group_links(left, rows, hasher, k, percent)
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-        def flush():
-            nonlocal rows
-            if left and rows:
-                if isinstance(left[0], dict):
-                    left[:] = [Block(list(left), hasher)]
-                found.extend(block_links(group[0], left[0], Block(rows, hasher), least, k, percent))
-            rows = []
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                for r in batch.slice(at, 64).to_pylist():
-                    g = (r["key"], r["line"], r["column"])
-                    if g != group:
-                        flush()
-                        group, left = g, []
-                    (rows if r["side"] else left).append(r)
-                    if len(rows) == 64:
-                        flush()
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
-                    found = []
-        flush()
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-    return common.written(dealt.mapInArrow(compare, "a long, b long"), "across")
+    return common.written(sent.mapInArrow(compare, "a long, b long"), "across")
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
@@ -293,20 +363,23 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFr
     first = full.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "sig")).alias("r"))
     reps = common.written(first.select("set_a", "set_b", F.col("r.doc_id").alias("rep"), F.col("r.sig").alias("sig")), "classes")
     bands = band_keys(reps)
-    shared = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub <> top").select("key", "hub")
-    members = common.written(bands.join(shared, "key"), "buckets")
-    stars = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    shared = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top"), F.count("*").alias("n")).where("hub <> top")
+    shared = common.written(shared.select("key", "hub", "n"), "shared-keys")
+    members = common.written(common.skew_join(bands, shared.select("key", "hub"), "key", counts=shared), "buckets")
+    stars = common.written(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     links = confirmed(stars, reps, docs, k, percent)
     labels = common.written(components(links), "components")
     links = links.union(across_links(members, labels.toDF("rep", "c"), reps, docs, k, percent))
-    same = all_.where("n_shingles > 0").join(reps.select("set_a", "set_b", "rep"), ["set_a", "set_b"], "left").where("doc_id <> rep")
     # rows that share a doc_id are one vertex, so classes are joined by their members only where a doc_id is in two of them
-    twice = full.select("doc_id", "set_a", "set_b").distinct().groupBy("doc_id").count().where("count > 1").select("doc_id")
-    links = links.union(same.join(twice, "doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+    which = F.struct("set_a", "set_b")
+    twice = full.groupBy("doc_id").agg(F.min(which).alias("x"), F.max(which).alias("y")).where("x <> y").select("doc_id")
+    same = common.written(full.select("doc_id", "set_a", "set_b").join(twice, "doc_id", "left_semi"), "shared-ids")
+    same = common.skew_join(same, reps.select("set_a", "set_b", "rep"), ["set_a", "set_b"]).where("doc_id <> rep")
+    links = links.union(same.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     labels = common.written(components(links), "components").toDF("rep", "component")
-    named = all_.join(reps.select("set_a", "set_b", "rep"), ["set_a", "set_b"], "left")
-    named = named.withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id"))))
-    named = named.join(labels, "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
+    classes = reps.join(labels, "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("class"))
+    own = all_.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_a")).alias("set_a"), F.when(F.col("n_shingles") > 0, F.col("set_b")).alias("set_b"))
+    named = common.skew_join(own, classes, ["set_a", "set_b"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")))
     return named.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
