@@ -1,20 +1,25 @@
 """Main text of web pages: flat text blocks, classified by a decision tree trained on a small labelled table.
 
-A page is cut into flat blocks at block-level tags. A block is described by its words and link density, those of its
-neighbours, and by where it stands (within an article, within page furniture, its own tag). The tree (Gini, exact
-splits) is trained on the blocks of the labelled pages in TRAINING_PAGES, in which main text is marked by a leading "+".
+A page is cut into flat blocks at block-level tags. A block is described by its own words and link density, by those of the
+blocks before and after it, and by where it stands: inside an article, inside elements meant for page furniture (nav,
+footer and the like), inside an element whose class or id names furniture only, and whether it is a heading. The tree (Gini,
+exact splits) is trained on the blocks of the pages made of LAYOUTS, in which main text is marked by a leading "+"; no feature
+decides by itself, the tree weighs them.
 
 Cases: null and empty pages give an empty text; unclosed comments, raw texts (_RAW: scripts, styles and the like) and tags
-reach to the end of the page; any other unclosed element ends with its parent, and svg and select also before a tag that
-can't stand in them; "/>" ends an svg and the elements in it; texts of formulas stand in their paragraph; a "<" that
-opens no tag is text; line breaks are white space; character references without semicolon are decoded as browsers do;
-rows that repeat a page_id are extracted each; an empty table gives no rows; other columns are ignored.
+reach to the end of the page; any other unclosed element ends with its parent, svg and select also before a tag that can't
+stand in them, and nav, menu and button before an article, main or h1; "/>" ends an svg and the elements in it; texts of
+formulas stand in their paragraph; a "<" that opens no tag is text; a quote opens an attribute value only after "="; a link
+reaches over blocks up to its end, the next link or the end of its parent; line breaks are white space; character
+references without semicolon are decoded as browsers do; rows that repeat a page_id are extracted each; an empty table
+gives no rows; other columns are ignored. The time is linear in the length of a page.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -23,95 +28,127 @@ from pyspark.sql import functions as F
 
 from orrery.llm import common
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: A comment, a declaration or a tag with its attributes; possessive, so that it never looks at a character twice.
+_TOKEN = re.compile(
+    r"""<!--(?s:.*?)(?:-->|\Z)|<![^>]*+(?:>|\Z)|<\?[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)"""
+    r"""((?:[^=>]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?+)*+)(?:>|\Z)"""
+)
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea iframe title".split())
 _FURNITURE = frozenset("nav footer aside form header menu button dialog head template select option optgroup svg".split())
 _MATH = frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd maction semantics annotation annotation-xml".split())
-#: Elements that may stand within a link, and tags that end an open svg or select.
-_WITHIN = frozenset("template select option optgroup svg noscript object".split())
 _BREAKS = frozenset("article aside blockquote body center dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header li main nav ol p pre section table ul".split())
 _MAIN = frozenset("article main".split())
+#: Elements that an article, main or h1 ends if they are left open.
+_MENUS = frozenset("nav menu button".split())
 _UNQUOTED = re.compile(r"=\s*[^\s\"'>]+\Z")  # such a value ends with its "/"
-_ATTRS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_BAD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|comments?|reply|replies|respond|sidebar|side|menu|nav\w*|footer|header|breadcrumbs?|cookies?|consent|notice|"
-    r"newsletter|subscribe|share|social|related|popup|modal|widget|login|signup|search|pagination|disqus|complementary|contentinfo|alert|tags|toolbar)(?:$|[\s_-])",
-    re.I,
+_ATTRS = re.compile(r"(?:^|[\s\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
+#: Words of class names that stand for furniture, and words that may stand beside them.
+_NAMES = frozenset(
+    "ad ads advert adverts advertisement banner promo sponsor sponsored comment comments reply replies respond sidebar side menu nav navbar navigation footer header breadcrumb breadcrumbs cookie cookies "
+    "consent notice newsletter subscribe share sharing social related popup modal widget login signup search pagination pager disqus complementary contentinfo alert toolbar".split()
 )
-_GOOD = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main)(?:$|[\s_-])", re.I)
+_BESIDE = frozenset("site page box wrap wrapper container block area section list bar inner outer top bottom left right col column link links item items post posts main body content buttons button the global primary secondary form panel slot unit".split())
+_GOOD = frozenset("article content post entry story main".split())
 _HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Tags whose opening ends an open paragraph; an open <p> or <li> holds no other one.
 _ALONE = frozenset("p li dt dd td th tr option".split())
 
 
-def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool, str]]:
-    """(text, words, words in links, in furniture, in article, tag) of every flat block in page order."""
+def named(attributes: str) -> tuple[bool, bool]:
+    """Whether class, id or role names furniture, and whether it names content: every part of a name has to be a known word,
+    so "site-footer" is furniture, but "social-history" and "side-by-side" aren't."""
+    bad = good = False
+    for found in _ATTRS.findall(attributes) if attributes else ():
+        for name in "".join(found).split():
+            parts = {x.lower() for x in _PARTS.split(name) if x and not x.isdigit()}
+            bad = bad or bool(parts & _NAMES) and parts <= _NAMES | _BESIDE
+            good = good or bool(parts & _GOOD) and parts <= _GOOD | _BESIDE
+    return bad, good
+
+
+def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool, bool, str]]:
+    """(text, words, words in links, in a furniture tag, in a furniture class, in article, tag) of every flat block in order."""
     out: list = []
     text: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, furniture, article
-    state = {"links": 0, "linked": 0}
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, furniture tag, furniture class, article
+    opened: Counter = Counter()
+    link: int | None = None  # depth of the element that an open link stands in
+    linked = 0
     tag = ""
 
     def flush():
+        nonlocal linked
         joined = " ".join(html.unescape("".join(text)).split())
         text.clear()
         if joined:
-            _, bad, good = stack[-1] if stack else ("", False, False)
+            _, bad, hint, good = stack[-1] if stack else ("", False, False, False)
             words = joined.count(" ") + 1
-            out.append((joined, words, min(state["linked"], words), bad, good, tag))
-        state["linked"] = 0
+            out.append((joined, words, min(linked, words), bad, hint, good, tag))
+        linked = 0
 
     def data(s: str):
+        nonlocal linked
         if s:
             text.append(s)
-            if state["links"]:
-                state["linked"] += len(s.split())
+            if link is not None:
+                linked += len(s.split())
+
+    def pop():
+        nonlocal link
+        name = stack.pop()[0]
+        opened[name] -= 1
+        if link is not None and len(stack) < link:
+            link = None
+
+    def pop_to(names) -> None:
+        """Ends the outermost open element of these names and all in it."""
+        while any(opened[n] for n in names):
+            pop()
 
     page, at = page or "", 0
     while m := _TOKEN.search(page, at):
         data(page[at : m.start()])
         at = m.end()
         close, name = m[1], (m[2] or "").lower()
-        if not name:
-            continue
-        if name in _MATH:
+        if not name or name in _MATH:
             continue
-        drawn = name == "svg" or any(s[0] == "svg" for s in stack)
-        ended = drawn and not close and m[3].endswith("/") and not _UNQUOTED.search(m[3])
+        drawn = name == "svg" or opened["svg"] > 0
+        ended = drawn and not close and m[3].endswith("/") and not _UNQUOTED.search(m[3][-200:])
         if name in _RAW and not close and not ended:
-            end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            end = re.compile(rf"</{name}\b[^>]*+(?:>|\Z)", re.I).search(page, at)
             flush()
             at = end.end() if end else len(page)
             continue
         if name == "a":
-            state["links"] = 0 if close else 1
+            link = None if close else len(stack)
+        bad, good = (False, False) if close else named(m[3])
         if name in _INLINE:
             if name == "br":
                 text.append(" ")
-            if name in ("span", "label", "a", "b", "i") or name in _VOID or not _BAD.search(" ".join(filter(None, sum(_ATTRS.findall(m[3]), ())))):
+            if not bad or name in ("span", "label", "a", "b", "i") or name in _VOID:
                 continue
         flush()
-        if not drawn and name not in _WITHIN:
-            state["links"] = 0
         if close:
-            if any(s[0] == name for s in stack):
-                while stack.pop()[0] != name:
-                    pass
+            if opened[name]:
+                while stack[-1][0] != name:
+                    pop()
+                pop()
             tag = stack[-1][0] if stack else ""
         elif name not in _VOID and not ended:
-            if name in _BREAKS:
-                opened = next((i for i, s in enumerate(stack) if s[0] in ("svg", "select")), None)
-                if opened is not None and all(s[0] != "foreignobject" for s in stack[opened:]):
-                    del stack[opened:]
+            if name in _BREAKS and not opened["foreignobject"]:
+                pop_to(("svg", "select"))
+            if name in _MAIN or name == "h1":
+                pop_to(_MENUS)
             if name in _ALONE and stack and stack[-1][0] == name:
-                stack.pop()
-            up = stack[-1] if stack else ("", False, False)
-            named = " ".join(filter(None, sum(_ATTRS.findall(m[3]), ())))
-            content = name in _MAIN or bool(_GOOD.search(named))
-            bad = up[1] or name in _FURNITURE and not (name == "header" and up[2]) or name not in ("body", "html", *_MAIN) and bool(_BAD.search(named))
-            stack.append((name, bad, up[2] or content))
+                pop()
+            up = stack[-1] if stack else ("", False, False, False)
+            furniture = up[1] or name in _FURNITURE and not (name == "header" and up[3])
+            hint = up[2] or bad and name not in ("body", "html", *_MAIN)
+            stack.append((name, furniture, hint, up[3] or good or name in _MAIN))
+            opened[name] += 1
             tag = name
     data(page[at:])
     flush()
@@ -119,30 +156,62 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool, str]]:
 
 
 def features(found: list) -> np.ndarray:
-    """words, link density, both of the block before and after, furniture, article, any article on the page, heading."""
+    """words, link density, both of the block before and after, article, any article on the page, heading, furniture tag,
+    furniture class."""
     n = len(found)
     words = np.array([b[1] for b in found], float)
     density = np.array([b[2] for b in found], float) / np.maximum(words, 1)
     near = lambda x, d: np.concatenate([[0.0], x[:-1]]) if d < 0 else np.concatenate([x[1:], [0.0]])
-    any_ = float(any(b[4] and not b[3] for b in found))
+    any_ = float(any(b[5] and not b[3] and not b[4] for b in found))
     cols = [words, density, near(words, -1), near(density, -1), near(words, 1), near(density, 1)]
-    cols += [np.array([b[i] for b in found], float) for i in (3, 4)] + [np.full(n, any_), np.array([b[5] in _HEADS for b in found], float)]
+    cols += [np.array([b[5] for b in found], float), np.full(n, any_), np.array([b[6] in _HEADS for b in found], float)]
+    cols += [np.array([b[i] for b in found], float) for i in (3, 4)]
     return np.stack(cols, axis=1) if n else np.zeros((0, len(cols)))
 
 
-#: The labelled table: pages whose main text blocks open with "+".
-TRAINING_PAGES = [
-    '<head><title>T</title></head><nav><ul><li><a href=x>Home</a><li><a href=x>About us</a></ul></nav><div class="ad">Buy our things now.</div><article><h1>+A title of some words</h1><p>+Short.<p>+A longer paragraph that tells of many things in words and more words until it ends.<p>+See <a href=x>a link</a>.</article><footer>&copy; a site. All rights.</footer>',
-    '<header><h1>Site name</h1><p>The best site of them all</header><div class="sidebar"><h3>Popular</h3><p>One long story that others liked to read on other days than this one.</div><main><h2>+Head</h2><p>+Some words here.<p>+<a href=x>All linked</a><div class="comments"><p>I liked this very much, thank you for all of it.</div></main><footer><p>Imprint</footer>',
-    '<div id="cookie-notice"><p>We use cookies to make this site better for you and for us.</div><div class="content"><h1>+Head</h1><p>+Words of the text.<p>+Yes.<form><p>Your name<input></form><aside><p>Read more of our things here and there.</aside></div><div class="footer">A site</div>',
-    "<h1>+A page without any marks</h1><p>+It has long paragraphs with a lot of words in them, one after the other, as pages had.<p>+And another paragraph with as many words as the first one had, or maybe still some more.<p><a href=x>Next</a> <a href=x>Last</a>",
-    "<p><a href=x>Home</a> <a href=x>Links</a><h2>+Old page</h2><p>+A long text on a page that knows neither articles nor other marks of its parts at all.<p>+It goes on, with words and words, and with <a href=x>a link</a> between them, until it ends.<p><a href=x>Back to top</a>",
-    '<nav><a href=x>One</a></nav><article><header><h1>+Head within the article</h1></header><p>+Text.<ul><li>+A point of a list<li>+Another one</ul><div class="share"><a href=x>Share this</a></div><section class="comments"><article><p>A comment by a reader with a few words.</article></section></article>',
-    '<div class="newsletter">Subscribe now to get all the news each day of the week in your mail.</div><article><p>+One.<p>+Two words.</article><div class="related"><h3>Related</h3><ul><li><a href=x>Other story</a></ul></div>',
+#: Layouts of labelled pages: main text blocks open with "+"; "~" stands for 1 to 60 words, "~~" for 20 to 80, "^" for 1 to 4.
+LAYOUTS = [
+    '<head><title>~</title></head><nav><ul><li><a href=x>^</a><li><a href=x>^</a><li><a href=x>^</a></ul></nav><div class="ad">~</div><article><h1>+~</h1><p>+^<p>+~~<p>+~ <a href=x>^</a><p>+~</article><footer>&copy; ~</footer>',
+    '<div class="ad">~</div><article><h1>+~</h1><p>+~</p><p>+^</p><p>+~~</p></article><footer>~</footer>',
+    '<header><h1>^</h1><p>~</header><div class="sidebar"><h3>^</h3><p>~~</div><main><h2>+^</h2><p>+~<p>+<a href=x>^</a><div class="comments"><p>~</div></main><footer><p>^</footer>',
+    '<div id="cookie-notice"><p>~</div><div class="content"><h1>+^</h1><p>+~<p>+^<form><p>^<input></form><aside><p>~</aside></div><div class="footer">~</div>',
+    '<div class="cookie-consent">~</div><div class="site-header">^</div><div><h1>+^</h1><p>+~~<p>+~~<p>+~~</div><div class="newsletter-box">~~</div><div class="site-footer">~</div>',
+    "<h1>+^</h1><p>+~~<p>+~~<p>+~~<p><a href=x>^</a> <a href=x>^</a>",
+    "<p><a href=x>^</a> <a href=x>^</a><h2>+^</h2><p>+~~<p>+~~ <a href=x>^</a> ~~<p><a href=x>^</a>",
+    '<nav><a href=x>^</a></nav><article><header><h1>+~</h1></header><p>+~<ul><li>+~<li>+^</ul><div class="share"><a href=x>^</a></div><section class="comments"><article><p>~</article></section></article>',
+    '<div class="newsletter">~</div><article><p>+~<p>+^</article><div class="related"><h3>^</h3><ul><li><a href=x>~</a></ul></div>',
+    "<table><tr><td><a href=x>^</a><tr><td><a href=x>^</a><tr><td><a href=x>^</a><tr><td><a href=x>^</a></table><div><h1>+^</h1><div>+~~</div><div>+~~</div></div><div><a href=x>^</a> <a href=x>^</a></div><div>^</div>",
+    "<div><a href=x>^</a></div><div><a href=x>^</a></div><div><a href=x>^</a></div><div>^</div><h1>+^</h1><p>+~~<p>+~~<p>+^<p>+~~<div><a href=x>^</a></div><div><a href=x>^</a></div><div>^</div>",
+    "<ul><li><a href=x>~</a><li><a href=x>~</a><li><a href=x>~</a></ul><div><div>+~~</div><blockquote>+~~</blockquote><div>+~~</div></div><ul><li><a href=x>^</a><li><a href=x>^</a></ul>",
+    '<div class="top-bar"><span>^</span></div><div class="post"><h2>+^</h2><p>+~<div class="grid side-by-side"><p>+^<p>+^</div><section id="social-history"><h3>+^</h3><p>+~</section><div class="ad-slot">~</div><p>+~</div><div class="comment-list"><p>^<p>~~</div>',
+    "<main><p>+~<ol><li>+<a href=x>~</a><li>+<a href=x>^</a></ol><figure><img><figcaption>+^</figcaption></figure></main><nav><a href=x>^</a><a href=x>^</a></nav><footer><ul><li><a href=x>^</a><li>^</ul></footer>",
+    "<nav><ul><li><a href=x>^</a><li><a href=x>^</a><li><a href=x>^</a></ul></nav><aside><p>~~</aside><article><h1>+^</h1><p>+^<p>+^</article><form><label>^</label><p>~</form>",
+    "<article><p>+^</article><footer><p>~~<p><a href=x>^</a></footer>",
+    "<p>+~<p>+~",
+    "<div>~</div><div><a href=x>^</a></div><article><p>+^<p>+~</article><div>~</div>",
+    "<article><section><p>+^</section><div>+^</div></article><div>~</div>",
+    "<div>^</div><main><p>+^</main>",
+    "<body><h1>+^</h1><p>+~<p>+^</body>",
+    "<header><a href=x>^</a></header><aside>~~</aside><div><h1>+^</h1><p>+~~<p>+~~</div><aside><h3>^</h3><p>~~</aside><footer>~~</footer>",
 ]
+#: Pages made of each layout, with lengths drawn anew.
+DRAWS = 8
 
 
-def train_tree(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple:
+def labelled_pages(seed: int = 5) -> list[str]:
+    """The labelled table, made of LAYOUTS."""
+    draw = np.random.default_rng(seed)
+    span = {"~~": (20, 80), "~": (1, 60), "^": (1, 4)}
+    long = lambda m: " ".join(["w"] * int(np.exp(draw.uniform(np.log(span[m[0]][0]), np.log(span[m[0]][1] + 1)))))
+    return [re.sub(r"~~|~|\^", long, page) for _ in range(DRAWS) for page in LAYOUTS]
+
+
+TRAINING_PAGES = labelled_pages()
+#: Blocks in a leaf of the tree.
+LEAST = 4
+
+
+def train_tree(x: np.ndarray, y: np.ndarray, depth: int = 8) -> tuple:
     """(feature, threshold, left, right) nested; leaves are (label,)."""
     if depth == 0 or len(set(y)) < 2:
         return (bool(2 * y.sum() >= len(y)) if len(y) else False,)
@@ -151,6 +220,8 @@ def train_tree(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple:
         values = np.unique(x[:, j])
         for cut in (values[:-1] + values[1:]) / 2:
             left = x[:, j] <= cut
+            if min(left.sum(), len(y) - left.sum()) < LEAST:
+                continue
             cost = sum(len(s) * s.mean() * (1 - s.mean()) for s in (y[left], y[~left]))
             if best is None or cost < best[0] - 1e-12:
                 best = (cost, j, float(cut))
