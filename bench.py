@@ -1,22 +1,26 @@
-"""Times the headline queries; prints one JSON line."""
+"""Times the headline queries after a warm-up; prints one JSON line. With --sweep N..., one line for each number of cores."""
 
 from __future__ import annotations
 
 import json
 import os
+import subprocess
+import sys
 import time
 
 from pyspark.sql import SparkSession
 
 from orrery import catalog
 
-HEADLINE = ["dataset_info", "zscore_rows", "nb_predict", "nb_metrics", "svm_predict", "svm_metrics_lr1"]
+HEADLINE = ["dataset_info", "zscore_rows", "nb_predict", "nb_metrics", "svm_predict", "svm_metrics_lr1", "knn_predict", "dt_predict", "dt_metrics", "mlp_forward", "mlp_full_steps"]
 
 
 def main() -> None:
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
-    spark = SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false").getOrCreate()
+    spark = SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    catalog.QUERIES["class_counts"](spark, sf_dir).collect()  # starts the session, the readers and a Python worker
+    spark.range(int(cpus)).mapInArrow(lambda batches: batches, "id long").count()
     times = {}
     for name in HEADLINE:
         start = time.perf_counter()
@@ -27,4 +31,8 @@ def main() -> None:
 
 
 if __name__ == "__main__":
-    main()
+    if sys.argv[1:2] == ["--sweep"]:
+        for n in sys.argv[2:] or ["1", "2", "4", "8"]:
+            subprocess.run([sys.executable, __file__], env={**os.environ, "BENCH_CPUS": n}, check=True)
+    else:
+        main()

@@ -11,7 +11,7 @@ def _ratio(a, b):
 
 
 def metrics(rows: DataFrame) -> DataFrame:
-    """tp, fp, tn, fn, accuracy, prec, recall, f1 of rows (y, pred)."""
+    """tp, fp, tn, fn, accuracy, prec, recall, f1 of rows (y, pred); rows without a prediction aren't counted."""
     y, p = F.col("y"), F.col("pred")
     c = rows.agg(F.count_if((y == 1) & (p == 1)).alias("tp"), F.count_if((y == -1) & (p == 1)).alias("fp"), F.count_if((y == -1) & (p == -1)).alias("tn"), F.count_if((y == 1) & (p == -1)).alias("fn"))
     tp, fp, tn, fn = (F.col(x).cast("double") for x in ("tp", "fp", "tn", "fn"))

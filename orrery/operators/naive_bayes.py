@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.operators.prep import is_binary, named_binary
+from orrery.operators import blocks
+from orrery.operators.prep import Named, is_binary, never
 
 CLASSES = (-1, 1)
 
 
-def fit(train: DataFrame, features: list[str], mode: str = "hybrid") -> dict:
-    """Model of normalised rows (features, y); mode: hybrid, gaussian or bernoulli."""
+def fit(train: DataFrame, features: list[str], mode: str = "hybrid", named: Named = never) -> dict:
+    """Model of normalised rows (features, y); mode: hybrid, gaussian or bernoulli. Rows with a null feature take no part."""
+    train = blocks.complete(train, features)
     aggs = [F.count("*").alias("n")]
     for i, f in enumerate(features):
         x = F.col(f).cast("double")
@@ -22,7 +25,7 @@ def fit(train: DataFrame, features: list[str], mode: str = "hybrid") -> dict:
     total = sum(r["n"] for r in rows.values())
     model: dict = {"prior": {c: (rows[c]["n"] + 1) / (total + 2) if c in rows else 1 / (total + 2) for c in CLASSES}, "features": {}}
     for i, f in enumerate(features):
-        binary = {"gaussian": False, "bernoulli": True}.get(mode, named_binary(f) or all(r[f"b{i}"] for r in rows.values()))
+        binary = {"gaussian": False, "bernoulli": True}.get(mode, named(f) or all(r[f"b{i}"] for r in rows.values()))
         terms = {}
         for c in CLASSES:
             n, r = (rows[c]["n"], rows[c]) if c in rows else (0, None)
@@ -45,9 +48,24 @@ def score(model: dict, c: int) -> Column:
 
 
 def predict(rows: DataFrame, model: dict) -> DataFrame:
-    return rows.withColumn("pred", F.when(score(model, 1) > score(model, -1), 1).otherwise(-1))
+    """rows with pred: the likelier class, -1 if both are alike; null where a feature is null."""
+    up, down = score(model, 1), score(model, -1)
+    return rows.withColumn("pred", F.when(up > down, 1).when(up <= down, -1))
 
 
-def model_frame(spark, model: dict) -> DataFrame:
-    rows = [(f, c, b, t[c]["mean"], t[c]["var"], t[c]["p_on"]) for f, (b, t) in model["features"].items() for c in CLASSES]
-    return spark.createDataFrame(rows, "feature string, class int, is_binary boolean, mean double, var double, p_on double")
+@dataclass(frozen=True)
+class Params:
+    mode: str = "hybrid"
+
+
+@dataclass(frozen=True)
+class Model:
+    features: list[str]
+    terms: dict
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return predict(rows, self.terms)
+
+
+def fit_model(train: DataFrame, features: list[str], params: Params = Params(), named: Named = never) -> Model:
+    return Model(features, fit(train, features, params.mode, named))

@@ -1,10 +1,38 @@
-"""Linear SVM by full-batch sub-gradient descent: one aggregation an epoch, weights as literals."""
+"""Linear SVM by full-batch sub-gradient descent: one job an epoch over packed blocks, gradients added up in the tasks."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.operators import blocks
+
+
+@dataclass(frozen=True)
+class Params:
+    """epochs, learning rate and decay of the weights; negative values count as 0."""
+
+    epochs: int = 20
+    lr: float = 0.02
+    decay: float = 1e-4
+
+    def __post_init__(self):
+        for name in ("epochs", "lr", "decay"):
+            object.__setattr__(self, name, max(getattr(self, name), 0))
+
+
+@dataclass(frozen=True)
+class Model:
+    features: list[str]
+    weights: list[float]
+    bias: float
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return predict(rows, self.features, (self.weights, self.bias))
+
 
 def decision(features: list[str], w: list[float], b: float) -> Column:
     out = F.lit(b)
@@ -13,25 +41,40 @@ def decision(features: list[str], w: list[float], b: float) -> Column:
     return out
 
 
+def gradient(w: np.ndarray, b: float):
+    """Rows, sum of y and sums of y * x over the rows whose margin is below 1."""
+
+    def partial(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        x, y = x.astype(np.float64), y.astype(np.float64)
+        active = y * (x @ w + b) < 1
+        return np.concatenate([[len(y), y[active].sum()], y[active] @ x[active]])
+
+    return partial
+
+
 def fit(train: DataFrame, features: list[str], epochs: int = 20, lr: float = 0.02, decay: float = 1e-4) -> tuple[list[float], float]:
-    w, b = [0.0] * len(features), 0.0
+    """(weights, bias); zero without rows, features, epochs or a learning rate. Rows with a null feature take no part."""
+    w, b = np.zeros(len(features)), 0.0
     if epochs <= 0 or lr <= 0 or not features:
-        return w, b
-    rows = train.select("y", *features).persist()
+        return w.tolist(), b
+    rows = blocks.packed(train, features).persist()
     try:
         for _ in range(epochs):
-            active = F.col("y") * decision(features, w, b) < 1
-            y = F.col("y").cast("double")
-            sums = [F.sum(F.when(active, y * F.col(f).cast("double")).otherwise(0.0)) for f in features]
-            r = rows.agg(F.count("*"), F.sum(F.when(active, y).otherwise(0.0)), *sums).first()
-            if not r[0]:
+            n, up, *g = blocks.summed(rows, len(features) + 2, gradient(w, b))
+            if not n:
                 break
-            w = [(1 - lr * decay) * x + lr / r[0] * g for x, g in zip(w, r[2:])]
-            b += lr / r[0] * r[1]
+            w = (1 - lr * decay) * w + lr / n * np.array(g)
+            b += lr / n * up
     finally:
         rows.unpersist()
-    return w, b
+    return w.tolist(), float(b)
+
+
+def fit_model(train: DataFrame, features: list[str], params: Params = Params()) -> Model:
+    return Model(features, *fit(train, features, params.epochs, params.lr, params.decay))
 
 
 def predict(rows: DataFrame, features: list[str], model: tuple[list[float], float]) -> DataFrame:
-    return rows.withColumn("pred", F.when(decision(features, *model) >= 0, 1).otherwise(-1))
+    """rows with pred: 1 where the decision is 0 or above, else -1; null where a feature is null."""
+    score = decision(features, *model)
+    return rows.withColumn("pred", F.when(score >= 0, 1).when(score < 0, -1))
