@@ -6,6 +6,8 @@ are partitions) give every range the rank of its first row.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,9 +30,17 @@ def ranked(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
 
 
 def value_counts(df: DataFrame, features: list[str]) -> DataFrame:
-    """feature, value (double), n for every distinct value that is not null."""
-    long = df.select(*(F.col(f).cast("double").alias(f) for f in features)).unpivot([], features, "feature", "value")
-    return long.where("value is not null").groupBy("feature", "value").agg(F.count("*").alias("n"))
+    """feature, value (double), n for every distinct value that is neither null nor NaN; each batch is counted before rows are dealt."""
+
+    def count(batches):
+        for batch in batches:
+            for i, f in enumerate(features):
+                x = batch.column(i).to_numpy(zero_copy_only=False)
+                values, n = np.unique(x[~np.isnan(x)] + 0.0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([f] * len(values), pa.string()), pa.array(values), pa.array(n)], names=["feature", "value", "n"])
+
+    some = df.select(*(F.col(f).cast("double").alias(f) for f in features)).mapInArrow(count, "feature string, value double, n long")
+    return some.groupBy("feature", "value").agg(F.sum("n").alias("n"))
 
 
 def order_statistics(counts: DataFrame, positions: dict[str, list[int]]) -> DataFrame:

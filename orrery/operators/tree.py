@@ -104,92 +104,95 @@ def walk(x: np.ndarray, nodes: list[Node]) -> np.ndarray:
     return at
 
 
-def histograms(rows: DataFrame, features: list[str], edges: dict[str, list[float]], nodes: list[Node], open_: list[int]) -> DataFrame:
-    """node, feature (number), bin, pos, neg of the open nodes, from packed rows."""
-    place = np.full(len(nodes), -1)
-    place[open_] = np.arange(len(open_))
+def binned(rows: DataFrame, features: list[str], edges: dict[str, list[float]]) -> DataFrame:
+    """Packed rows with b: the bins of their values, feature by feature, a byte each."""
     cuts = [np.array(edges[f]) for f in features]
 
+    def find(batches):
+        for batch in batches:
+            codes = []
+            for n, x in zip(batch.column("n").to_pylist(), batch.column("x").to_pylist()):
+                x = np.frombuffer(x, np.float32).reshape(n, -1)
+                codes.append(np.stack([np.searchsorted(cut, x[:, j].astype(np.float64), side="right") for j, cut in enumerate(cuts)]).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("n", "x", "y")), pa.array(codes, pa.binary())], names=["n", "x", "y", "b"])
+
+    return rows.mapInArrow(find, "n long, x binary, y binary, b binary")
+
+
+def histograms(rows: DataFrame, features: list[str], nodes: list[Node], of: list[int]) -> DataFrame:
+    """node, feature (number), bin, pos, neg of some nodes, from binned rows."""
+    place = np.full(len(nodes), -1)
+    place[of] = np.arange(len(of))
+    k = len(features)
+
     def count(batches):
-        shape = (len(open_), len(features), BINS, 2)
-        total = np.zeros(shape, np.int64)
-        for x, y in blocks.unpacked(batches):
-            at = place[walk(x, nodes)]
-            some = at >= 0
-            if some.any():
-                at, x, right = at[some], x[some], (y[some] == 1).astype(np.int64)
-                for j, cut in enumerate(cuts):
-                    b = np.searchsorted(cut, x[:, j].astype(np.float64), side="right")
-                    total[:, j] += np.bincount((at * BINS + b) * 2 + right, minlength=len(open_) * BINS * 2).reshape(len(open_), BINS, 2)
-        n, j, b = np.nonzero(total.sum(axis=3))
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(open_)[n]), pa.array(j), pa.array(b), pa.array(total[n, j, b, 1]), pa.array(total[n, j, b, 0])], names=["node", "feature", "bin", "pos", "neg"])
+        total = np.zeros((k, len(of) * BINS * 2), np.int64)
+        for batch in batches:
+            for n, x, y, b in zip(*(batch.column(c).to_pylist() for c in ("n", "x", "y", "b"))):
+                at = place[walk(np.frombuffer(x, np.float32).reshape(n, -1), nodes)]
+                some = np.flatnonzero(at >= 0)
+                base = at[some] * (2 * BINS) + (np.frombuffer(y, np.int8)[some] == 1)
+                codes = np.frombuffer(b, np.uint8).reshape(k, n)
+                for j in range(k):
+                    total[j] += np.bincount(base + 2 * codes[j][some].astype(np.int64), minlength=total.shape[1])
+        table = total.reshape(k, len(of), BINS, 2)
+        j, n, b = np.nonzero(table.sum(axis=3))
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(of)[n]), pa.array(j), pa.array(b), pa.array(table[j, n, b, 1]), pa.array(table[j, n, b, 0])], names=["node", "feature", "bin", "pos", "neg"])
 
     found = rows.mapInArrow(count, "node long, feature long, bin long, pos long, neg long")
     return found.groupBy("node", "feature", "bin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
 def split_gains(hist: DataFrame, params: Params = Params()) -> DataFrame:
-    """node, feature, bin (the edge behind it is the split), gain of every admissible split of the histograms."""
+    """node, feature, bin (the edge behind it is the split), pos, neg (of the node), gain and allowed (whether both sides and the
+    node are large enough, the node isn't pure and the gain is enough) of every split of the histograms."""
     upto = Window.partitionBy("node", "feature").orderBy("bin")
     every = Window.partitionBy("node", "feature")
     rows = hist.select("node", "feature", "bin", F.sum("pos").over(upto).alias("lp"), F.sum("neg").over(upto).alias("ln"), F.sum("pos").over(every).alias("p"), F.sum("neg").over(every).alias("q"))
     n, left = (F.col("p") + F.col("q")).cast("double"), F.col("lp") + F.col("ln")
     right = F.col("p") + F.col("q") - left
     gain = scalar.gini(F.col("p"), F.col("q")) - left / n * scalar.gini(F.col("lp"), F.col("ln")) - right / n * scalar.gini(F.col("p") - F.col("lp"), F.col("q") - F.col("ln"))
-    return rows.where((left >= params.min_leaf) & (right >= params.min_leaf)).select("node", "feature", "bin", gain.alias("gain"))
+    sides = (left >= params.min_leaf) & (right >= params.min_leaf)
+    rows = rows.select("node", "feature", "bin", F.col("p").alias("pos"), F.col("q").alias("neg"), F.when(sides, gain).alias("gain"))
+    open_ = (F.col("pos") + F.col("neg") >= params.min_split) & (F.col("pos") > 0) & (F.col("neg") > 0)
+    return rows.withColumn("allowed", F.coalesce(open_ & (F.col("gain") >= params.min_gain), F.lit(False)))
 
 
-def best_splits(gains: DataFrame, params: Params = Params()) -> DataFrame:
-    """The best split of each node with a gain of at least min_gain; of equal gains the smaller feature, then the smaller edge."""
-    best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("gain"), "feature", "bin"))
-    return gains.where(F.col("gain") >= params.min_gain).withColumn("_k", best).where("_k = 1").drop("_k")
-
-
-def _class_counts(rows: DataFrame, nodes: list[Node], of: list[int]) -> dict[int, tuple[int, int]]:
-    place = np.full(len(nodes), -1)
-    place[of] = np.arange(len(of))
-
-    def count(x, y):
-        at = place[walk(x, nodes)]
-        some = at >= 0
-        return np.bincount(at[some] * 2 + (y[some] == 1), minlength=2 * len(of)).astype(float)
-
-    def add(batches):
-        total = np.zeros(2 * len(of))
-        for x, y in blocks.unpacked(batches):
-            total += count(x, y)
-        yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(total[1::2].astype(np.int64)), pa.array(total[::2].astype(np.int64))], names=["node", "pos", "neg"])
-
-    found = rows.mapInArrow(add, "node long, pos long, neg long").groupBy("node").agg(F.sum("pos"), F.sum("neg")).collect()  # at most 2 ** depth nodes
-    return {r[0]: (r[1], r[2]) for r in found}
+def best_splits(gains: DataFrame) -> DataFrame:
+    """A row for each node: its counts and its best allowed split (of equal gains the smaller feature, then the smaller edge), or null."""
+    order = Window.partitionBy("node").orderBy(F.desc("allowed"), F.desc("gain"), "feature", "bin")
+    best = gains.withColumn("_k", F.row_number().over(order)).where("_k = 1")
+    return best.select("node", "pos", "neg", *(F.when(F.col("allowed"), F.col(c)).alias(c) for c in ("feature", "bin", "gain")))
 
 
 def fit(train: DataFrame, features: list[str], params: Params = Params()) -> Model:
-    """The tree of complete rows (features float, y); without rows one leaf that predicts 1."""
-    edges = edge_lists(bin_edges(blocks.complete(train, features).select(*(F.col(f).cast("float").alias(f) for f in features)), features, params.bins), features)
+    """The tree of complete rows (features float, y); without rows or features one leaf.
+
+    A level is one job: its histograms give both the counts of its nodes and their splits.
+    """
+    rows = blocks.complete(train, features)
+    edges = edge_lists(bin_edges(rows.select(*(F.col(f).cast("float").alias(f) for f in features)), features, params.bins), features)
     model = Model(features, [Node(0, 0, 0)], edges)
-    rows = blocks.packed(train, features).persist()
+    nodes, level = model.nodes, [0]
+    packed = binned(blocks.packed(rows, features), features, edges).persist()
     try:
-        nodes = model.nodes
-        nodes[0].pos, nodes[0].neg = _class_counts(rows, nodes, [0]).get(0, (0, 0))
-        level = [0]
         while level:
-            open_ = [i for i in level if nodes[i].depth < params.max_depth and nodes[i].pos + nodes[i].neg >= params.min_split and nodes[i].pos and nodes[i].neg]
-            if not open_:
-                break
+            # dealt by node once, so that the sweep, the choice and the counts need no further shuffle
+            hist = histograms(packed, features, nodes, level).repartition("node")
+            best = best_splits(split_gains(hist, params)).collect()  # at most 2 ** depth nodes
+            last = nodes[level[0]].depth >= params.max_depth
             level = []
-            for r in sorted(best_splits(split_gains(histograms(rows, features, edges, nodes, open_), params), params).collect()):  # a row for each open node
+            for r in sorted(best, key=lambda r: r["node"]):
                 node = nodes[r["node"]]
-                node.feature, node.gain = r["feature"], r["gain"]
-                node.threshold = edges[features[r["feature"]]][r["bin"]]
-                node.left, node.right = len(nodes), len(nodes) + 1
-                nodes += [Node(node.depth + 1, 0, 0), Node(node.depth + 1, 0, 0)]
-                level += [node.left, node.right]
-            if level:
-                for i, (pos, neg) in _class_counts(rows, nodes, level).items():
-                    nodes[i].pos, nodes[i].neg = pos, neg
+                node.pos, node.neg = r["pos"], r["neg"]
+                if r["feature"] is not None and not last:
+                    node.feature, node.gain = r["feature"], r["gain"]
+                    node.threshold = edges[features[r["feature"]]][r["bin"]]
+                    node.left, node.right = len(nodes), len(nodes) + 1
+                    nodes += [Node(node.depth + 1, 0, 0), Node(node.depth + 1, 0, 0)]
+                    level += [node.left, node.right]
     finally:
-        rows.unpersist()
+        packed.unpersist()
     return model
 
 

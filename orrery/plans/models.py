@@ -101,7 +101,7 @@ def dt_edges(spark, sf_dir):
 def _root(spark, sf_dir) -> DataFrame:
     train, _ = _prepared(spark, sf_dir)
     edges = tree.edge_lists(tree.bin_edges(train, FEATURES), FEATURES)
-    return tree.histograms(tree.blocks.packed(train, FEATURES), FEATURES, edges, [tree.Node(0, 0, 0)], [0])
+    return tree.histograms(tree.binned(tree.blocks.packed(train, FEATURES), FEATURES, edges), FEATURES, [tree.Node(0, 0, 0)], [0])
 
 
 @query(_BINNED + _level(0) + "SELECT CAST(j AS BIGINT) AS feature, CAST(bin AS BIGINT) AS bin, pos, neg FROM h0")
@@ -111,7 +111,7 @@ def dt_root_histogram(spark, sf_dir):
 
 @query(_BINNED + _level(0) + "SELECT CAST(j AS BIGINT) AS feature, CAST(bin AS BIGINT) AS bin, round(gain, 9) AS gain FROM g0")
 def dt_root_gains(spark, sf_dir):
-    return tree.split_gains(_root(spark, sf_dir)).select("feature", "bin", F.round("gain", 9).alias("gain"))
+    return tree.split_gains(_root(spark, sf_dir)).where("gain is not null").select("feature", "bin", F.round("gain", 9).alias("gain"))
 
 
 @query(_BINNED + _level(0) + _level(1) + "SELECT CAST(node AS BIGINT) AS node, CAST(j AS BIGINT) AS feature, CAST(bin AS BIGINT) AS bin, round(gain, 9) AS gain FROM s0 UNION ALL SELECT CAST(node AS BIGINT), CAST(j AS BIGINT), CAST(bin AS BIGINT), round(gain, 9) FROM s1")
