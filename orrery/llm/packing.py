@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.llm import common
-from orrery.llm.tokens import default_tokenizer, encoder
+from orrery.llm.tokens import default_tokenizer, encoder, forget
 
 SALTS = 256
 
@@ -126,6 +126,7 @@ def pack(pieces: DataFrame, *, size: int = 2048) -> DataFrame:
     ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
 
     def place(batches):
+        forget()
         for batch in batches:
             c = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             n, salt, rank = (c[x].to_numpy(zero_copy_only=False).astype(np.int64) for x in ("length", "_salt", "_rank"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import common
-from orrery.llm.tokens import default_tokenizer, encoder
+from orrery.llm.tokens import default_tokenizer, encoder, forget
 
 MAGIC = b"IDSHARD1"
 HEADER = len(MAGIC) + 33
@@ -47,12 +47,12 @@ def _dictionary(data: bytes):
 
 
 def sample_ids(docs: DataFrame, tokenizer: str, width: int, rows: int, chars: int) -> list[bytes]:
-    """Serialized ids of a bounded sample: of all texts of at most ``chars`` characters the ``rows`` ones of the smallest hashes."""
-    some = docs.where((F.length("text") > 0) & (F.length("text") <= chars)).withColumn("h", F.xxhash64("doc_id", "text"))
-    last = some.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]  # hashes alone are sorted
-    if last is None:
-        return []
-    texts = [r[0] for r in some.where(F.col("h") <= last).select("text", "h").orderBy("h", "text").limit(rows).collect()]
+    """Serialized ids of a bounded sample: of the documents of the smallest hashes of their doc_id, among all rows, at most
+    ``rows`` texts of at most ``chars`` characters. Hashes thin the table to about 2 * rows documents before it is ordered."""
+    n = docs.count()
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 33)
+    some = docs.withColumn("h", place).where((F.col("h") <= int(min(1.0, 2 * rows / max(n, 1)) * 2**31)) & (F.length("text") > 0) & (F.length("text") <= chars))
+    texts = [r[0] for r in some.select("text", "h").orderBy("h", "text").limit(rows).collect()]
     return [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() for x in encoder(tokenizer).encode(texts)]
 
 
@@ -72,11 +72,12 @@ def write_shards(
     """Writes the shards under ``path`` and returns the index table, one row per document: doc_id, shard, path, place,
     bytes, n_tokens, shard_start (ids before it in its shard), dict_sha256.
 
-    The dictionary is fitted on a bounded sample (``sample_rows`` texts of up to ``sample_chars``, by hash from all rows);
-    every document is written. Without a ``width``, ids have 2 bytes where all of them fit, else 4. Only compressed frames are shuffled, once, to ranges of doc_id.
+    The dictionary is fitted on a bounded sample (``sample_rows`` texts of up to ``sample_chars``, by hash of doc_id from all rows); every
+    document is written. Without a ``width``, ids have 2 bytes where all of them fit, else 4. Only compressed frames are
+    shuffled, once, to ranges of doc_id.
     """
     spark, tokenizer = docs.sparkSession, tokenizer or default_tokenizer()
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     width = width_of(tokenizer, end_id, width)
     data = train_dictionary(sample_ids(docs, tokenizer, width, sample_rows, sample_chars))
     sha = hashlib.sha256(data).digest() if data else bytes(32)
@@ -102,6 +103,7 @@ def write_shards(
                 )
 
     def store(batches):
+        forget()
         fs, base = common.open_fs(path)
         out, name, place, start, rows, shard = None, None, 0, 0, [], None
 
@@ -178,7 +180,8 @@ def read_shards(index: DataFrame, path: str) -> DataFrame:
                         files = {names[i]: (f, head[40])}
                     f, width = files[names[i]]
                     if shas[i] not in unpack:
-                        data = fs.open_input_file(f"{top}/dictionary-{shas[i]}.zdict").read()
+                        with fs.open_input_file(f"{top}/dictionary-{shas[i]}.zdict") as f_dict:
+                            data = f_dict.read()
                         if data and hashlib.sha256(data).hexdigest() != shas[i]:
                             raise ValueError("the dictionary isn't the one the shard was written with")
                         unpack[shas[i]] = zstandard.ZstdDecompressor(dict_data=_dictionary(data))

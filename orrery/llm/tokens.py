@@ -14,7 +14,9 @@ import numpy as np
 
 #: White space but the space and a line end that opens the piece: there the cut between pieces may not hold.
 _ODD = re.compile(r"[^\S\n]|(?<!^)\n")
-_MAX_PIECES = 1_000_000
+#: The same in keys, which have line ends in front alone.
+_SPACE = re.compile(r"[^\S\n]")
+_MAX_PIECES, _MAX_FIRSTS = 1_000_000, 50_000
 #: Pieces in one call of the tokenizer; between them stands a line end, a pre-token of its own.
 _CALL = 512
 
@@ -28,7 +30,7 @@ def default_tokenizer() -> str:
 
 
 class IdEncoder:
-    """Encodes texts; keeps at most ``_MAX_PIECES`` pieces, then starts anew, so memory is bounded."""
+    """Encodes texts; keeps about ``_MAX_PIECES`` pieces, then starts anew, so memory is bounded."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -36,6 +38,7 @@ class IdEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces: dict[str, bytes | None] = {}
+        self.firsts: dict[str, bytes] = {}  # pieces that open a text, without the space before
         self.stop = dict(zip(".,", self._whole([".", ","])))
         self.end_of_line = self._whole(["\n"])[0]
 
@@ -50,14 +53,15 @@ class IdEncoder:
         return parts
 
     def _learn(self, keys: list[str]) -> None:
-        plain, known = [], self.pieces
-        for key in keys:
-            if _ODD.search(key):
-                known[key] = None
-            elif key in ("", "\n"):
+        plain, known = keys, self.pieces
+        if _SPACE.search("".join(keys)):
+            odd = {key for key in keys if _ODD.search(key)}
+            known.update(dict.fromkeys(odd))
+            plain = [key for key in keys if key not in odd]
+        for key in ("", "\n"):
+            if key in plain:
                 known[key] = self._whole([key or " "])[0]
-            else:
-                plain.append(key)
+                plain = [x for x in plain if x != key]
         for i in range(0, len(plain), _CALL):
             some = plain[i : i + _CALL]
             raw = self._whole(["".join([f"{k[1:]}\n" if k[0] == "\n" else f" {k}\n" for k in some]) + "."])[0]
@@ -72,6 +76,8 @@ class IdEncoder:
         known = self.pieces
         if len(known) > _MAX_PIECES:
             known.clear()
+        if len(self.firsts) > _MAX_FIRSTS:
+            self.firsts.clear()
         need: set[str] = set()
         for parts in cut:
             if parts:
@@ -82,17 +88,20 @@ class IdEncoder:
         self._learn([p for p in {p[:-1] if p in stops else p for p in need} if p not in known])
         for p in stops:
             known[p] = known[p[:-1]] + self.stop[p[-1]]
+        firsts = self.firsts
+        new = list({parts[0] for parts in cut if parts and parts[0] not in firsts and not _ODD.search(parts[0])})
+        firsts.update(zip(new, self._whole(new)))
         out: list[bytes] = []
         for text, parts in zip(texts, cut):
             if not text:
                 out.append(b"")
                 continue
             ids = None
-            if parts is not None and not _ODD.search(parts[0]):
-                rest = [known[p] for p in parts[1:]]
-                if None not in rest:
-                    first = self._whole([parts[0]])[0] if parts[0] else b""
-                    ids = first + b"".join(rest)
+            if parts is not None and parts[0] in firsts:
+                try:
+                    ids = firsts[parts[0]] + b"".join(map(known.__getitem__, parts[1:]))
+                except TypeError:  # one of them is None
+                    pass
             out.append(self._whole([text])[0] if ids is None else ids)
         return out
 
@@ -105,3 +114,10 @@ def encoder(path: str) -> IdEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         _encoders[path] = IdEncoder(path)
     return _encoders[path]
+
+
+def forget() -> None:
+    """Frees the worker's dictionaries of pieces, for stages that encode nothing."""
+    for known in _encoders.values():
+        known.pieces.clear()
+        known.firsts.clear()
