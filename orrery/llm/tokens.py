@@ -17,7 +17,7 @@ _ODD = re.compile(r"[^\S\n]|(?<!^)\n")
 #: The same in keys, which have line ends in front alone.
 _SPACE = re.compile(r"[^\S\n]")
 _MAX_PIECES, _MAX_FIRSTS = 1_000_000, 50_000
-#: Pieces in one call of the tokenizer; between them stands a line end, a pre-token of its own.
+#: Pieces in one call of the tokenizer.
 _CALL = 512
 
 _encoders: dict[str, "IdEncoder"] = {}
@@ -41,6 +41,10 @@ class IdEncoder:
         self.firsts: dict[str, bytes] = {}  # pieces that open a text, without the space before
         self.stop = dict(zip(".,", self._whole([".", ","])))
         self.end_of_line = self._whole(["\n"])[0]
+        # whether an id stands for bytes that begin with a space: in keys, that is the first id alone
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -62,13 +66,21 @@ class IdEncoder:
             if key in plain:
                 known[key] = self._whole([key or " "])[0]
                 plain = [x for x in plain if x != key]
-        for i in range(0, len(plain), _CALL):
-            some = plain[i : i + _CALL]
-            raw = self._whole(["".join([f"{k[1:]}\n" if k[0] == "\n" else f" {k}\n" for k in some]) + "."])[0]
+        lined = [key for key in plain if key[0] == "\n"]
+        spaced = [key for key in plain if key[0] != "\n"] if lined else plain
+        for i in range(0, len(lined), _CALL):
+            some = lined[i : i + _CALL]
+            raw = self._whole(["".join([f"{k[1:]}\n" for k in some]) + "."])[0]
             ends = np.flatnonzero(np.frombuffer(raw, "<u4") == np.frombuffer(self.end_of_line, "<u4")[0]) * 4
             starts = np.concatenate([[0], ends[:-1] + 4])
             for key, a, b in zip(some, starts.tolist(), ends.tolist(), strict=True):
-                known[key] = self.end_of_line + raw[a:b] if key[0] == "\n" else raw[a:b]
+                known[key] = self.end_of_line + raw[a:b]
+        for i in range(0, len(spaced), _CALL):
+            some = spaced[i : i + _CALL]
+            raw = self._whole([" " + " ".join(some)])[0]
+            starts = (np.flatnonzero(self.opens[np.frombuffer(raw, "<u4")]) * 4).tolist()
+            for key, a, b in zip(some, starts, [*starts[1:], len(raw)], strict=True):
+                known[key] = raw[a:b]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null and empty texts have none."""
@@ -82,7 +94,7 @@ class IdEncoder:
         for parts in cut:
             if parts:
                 need.update(parts[1:])
-        need = [p for p in need if p not in known]
+        need = need.difference(known)
         # letters and one stop or comma after them are pre-tokens of their own
         stops = {p for p in need if p[-1:] in (".", ",") and p[:-1].isalpha()}
         self._learn([p for p in {p[:-1] if p in stops else p for p in need} if p not in known])
