@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import os
 import tempfile
@@ -11,17 +12,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Paths that this session has made in the shared folder; they go when the driver ends.
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or (only where it is unset) a temporary one."""
+    """The folder every executor can reach: spark.checkpoint.dir; a local session may leave it unset and gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
     return base.rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_remove_made, os.getpid())
+    _made.append(path)
+    return path
+
+
+def _remove_made(pid: int) -> None:
+    if os.getpid() != pid:
+        return
+    for path in _made:
+        try:
+            fs, place = open_fs(path)
+            fs.delete_dir(place)
+        except Exception:  # noqa: BLE001  (what is gone, or can't be reached any more, stays as it is)
+            pass
 
 
 def written(df: DataFrame, name: str, **options) -> DataFrame:

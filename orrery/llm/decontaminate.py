@@ -1,9 +1,10 @@
 """Benchmark decontamination over a distributed positional inverted index, by DataFrame operations only.
 
-Words are stored per document row. From the counts of the test terms in all documents each test window gets its rarest
-terms; the index holds the positions of these terms (term, row, positions). Offset-adjusted lists are intersected from the
-rarest term on: a position of the rarest term fixes where the item would begin, and the next rarest term has to stand at
-its own distance in the same row. What is left is compared word by word (exact phrases) or within a slop (proximity).
+The index stores, for every term of the test set, its postings in all documents (term, row, positions). Counts of the terms
+give each test window its rarest ones. Offset-adjusted lists are intersected from the rarest term on: a position of the
+rarest term fixes where the item would begin, and the next rarest term has to stand at its own distance in the same row.
+The item's other terms are then looked up in the postings of these rows alone, each at its own place (exact phrases) or
+within a slop of it (proximity).
 
 Joins carry no hints: Spark broadcasts a side only while its measured size is under spark.sql.autoBroadcastJoinThreshold
 and deals both sides out otherwise, so a large test set works as well.
@@ -87,6 +88,17 @@ def alignments(index: DataFrame, pairs: DataFrame, slop: int = 0) -> DataFrame:
     return first.join(second, ["t2", "row"]).where(near).select("row", "item", (F.col("place") - F.col("p1")).alias("shift")).distinct()
 
 
+def matched(index: DataFrame, found: DataFrame, items: DataFrame, slop: int = 0) -> DataFrame:
+    """row, item, shift, size, spots (map from the number of a word of the item to the places where it stands, at its own place
+    or within slop of it) of every alignment (row, item, shift), from the postings."""
+    near = common.written(index.join(found.select("row").distinct(), "row", "left_semi"), "aligned-postings")
+    asked = found.join(items.select("item", F.size("want").alias("size"), F.posexplode("want").alias("o", "term")), "item")
+    own = F.col("shift") + F.col("o")
+    at = F.filter("places", lambda p: F.abs(p - own) <= slop) if slop else F.filter("places", lambda p: p == own)
+    stood = asked.join(near, ["term", "row"]).select("row", "item", "shift", "size", "o", at.alias("at")).where(F.size("at") > 0)
+    return stood.groupBy("row", "item", "shift", "size").agg(F.map_from_entries(F.collect_list(F.struct("o", "at"))).alias("spots"))
+
+
 def phrase_matches(table: DataFrame, windows: DataFrame, n: int = 10, slop: int = 0) -> DataFrame:
     """row, item, shift, hit: places (array) of the row's words inside occurrences of the item's windows.
 
@@ -95,32 +107,19 @@ def phrase_matches(table: DataFrame, windows: DataFrame, n: int = 10, slop: int
     """
     counts = term_counts(table, common.written(windows.select(F.explode("window").alias("term")).distinct(), "vocabulary"))
     pairs = probes(windows, counts)
-    terms = common.written(pairs.select(F.explode(F.array("t1", "t2")).alias("term")).distinct(), "probe-terms")
-    found = common.written(alignments(positional_index(table, terms), pairs, slop), "alignments")
+    index = positional_index(table, counts.where("n > 0").select("term"))
+    found = common.written(alignments(index, pairs, slop), "alignments")
     items = common.written(windows.select("item", F.col("words").alias("want")).distinct(), "wanted")
-    rows = common.written(table.join(found.select("row").distinct(), "row", "left_semi").select("row", "words"), "aligned-rows")
-    both = found.join(items, "item").join(rows, "row")
-    size = F.size("want")
-    if slop == 0:
-        same = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.coalesce(F.get("words", F.col("shift") + i) == F.get("want", i), F.lit(False)))
-    else:
-        low = lambda i: F.greatest(F.col("shift") + i - slop, F.lit(0))
-        high = lambda i: F.least(F.col("shift") + i + slop, F.size("words") - 1)
-        around = lambda i: F.when(low(i) <= high(i), F.sequence(low(i), high(i))).otherwise(F.array().cast("array<int>"))
-        spots = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.filter(around(i), lambda p: F.get("words", p) == F.get("want", i)))
-        both = both.withColumn("spots", spots)
-        same = F.transform("spots", lambda x: F.size(x) > 0)
-    wide = F.least(size, F.lit(n))
-    # runs of equal words: the length of the run that ends at each place, then every place of runs as long as a window
-    runs = F.aggregate("same", F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.when(x, F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + 1).otherwise(0))))
-    hit = both.withColumn("same", same).withColumn("runs", runs).withColumn("wide", wide)
-    ends = F.filter(F.sequence(F.lit(0), size - 1), lambda i: F.get("runs", i) >= F.col("wide"))
-    covered = F.flatten(F.transform("ends", lambda e: F.sequence(e - F.col("wide") + 1, e)))
-    hit = hit.withColumn("ends", ends).where(F.size("ends") > 0)
+    both = matched(index, found, items, slop).withColumn("wide", F.least("size", F.lit(n)))
+    # runs of words that stand: the length of the run that ends at each word, then the windows that end in a run as long
+    every = F.sequence(F.lit(0), F.col("size") - 1)
+    runs = F.aggregate(every, F.array().cast("array<int>"), lambda acc, i: F.concat(acc, F.array(F.when(F.map_contains_key("spots", i), F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + 1).otherwise(0))))
+    hit = both.withColumn("runs", runs).withColumn("ends", F.filter(every, lambda i: F.get("runs", i) >= F.col("wide"))).where(F.size("ends") > 0)
+    words_of = lambda e: F.sequence(e - F.col("wide") + 1, e)
     if slop == 0:
-        places = F.filter(F.transform(F.array_distinct(covered), lambda i: i + F.col("shift")), lambda p: (p >= 0) & (p < F.size("words")))
+        places = F.transform(F.array_distinct(F.flatten(F.transform("ends", words_of))), lambda i: i + F.col("shift"))
     else:
-        stood = lambda e: F.flatten(F.slice("spots", e - F.col("wide") + 2, F.col("wide")))
+        stood = lambda e: F.flatten(F.transform(words_of(e), lambda i: F.element_at("spots", i)))
         places = F.array_distinct(F.flatten(F.transform("ends", lambda e: F.sequence(F.array_min(stood(e)), F.array_max(stood(e))))))
     return hit.select("row", "item", "shift", places.alias("hit"))
 

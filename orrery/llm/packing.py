@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from orrery.llm import common
 from orrery.llm.tokens import default_tokenizer, encoder, forget
 
-SALTS = 256
+#: Pieces of one length that a task ranks.
+RANKED = 200_000
 
 
 def token_pieces(docs: DataFrame, *, size: int = 2048, end_id: int = 0, tokenizer: str | None = None) -> DataFrame:
@@ -48,7 +49,7 @@ def token_pieces(docs: DataFrame, *, size: int = 2048, end_id: int = 0, tokenize
                 cols = list(zip(*rows)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan_bins(counts: np.ndarray) -> list[tuple[int, list[int]]]:
@@ -116,14 +117,17 @@ def places(bins: list[tuple[int, list[int]]], size: int) -> dict[str, np.ndarray
 
 def pack(pieces: DataFrame, *, size: int = 2048) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32)."""
-    pieces = common.written(pieces, "pieces")
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    table = np.zeros((size + 1, SALTS), np.int64)  # bounded by size * SALTS, whatever the number of rows
+    pieces = common.written(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    # a length with many pieces is dealt over as many salts as it needs: 1 in RANKED pieces, and one for each length
+    salts = [(n, -(-k // RANKED)) for n, k in pieces.groupBy("length").count().collect()]
+    dealt = F.broadcast(pieces.sparkSession.createDataFrame(salts, "length long, _salts int"))
+    salted = pieces.join(dealt, "length").withColumn("_salt", F.pmod(F.xxhash64("_row"), F.col("_salts")).cast("int"))
+    table = np.zeros((size + 1, max([k for _, k in salts], default=1)), np.int64)
     for n, salt, k in salted.groupBy("length", "_salt").count().collect():
         table[n, salt] = k
     before = np.cumsum(table, axis=1) - table
     where = places(plan_bins(table.sum(axis=1)), size)
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
+    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32", "_row")) - 1)
 
     def place(batches):
         forget()

@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_transactions": warc.ORACLE,
     "op2_reply_trees": chat.ORACLE,
     "op4_decontamination": decontaminate.ORACLE,
     "op5_near_duplicates": minhash.ORACLE,

@@ -48,7 +48,7 @@ def ruled(rows: DataFrame, rules=RULES) -> DataFrame:
     host, path = parts(F.col("url"))
     rows = rows.withColumn("host", host).withColumn("path", path)
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for v, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
+    for v, h, p in sorted(reversed(rules), key=lambda r: len(r[1] + r[2])):  # the last that fits stands
         fits = ((F.col("host") == h) | F.col("host").endswith(f".{h}")) & F.col("path").startswith(p)
         rule, verdict = F.when(fits, h + p).otherwise(rule), F.when(fits, v).otherwise(verdict)
     return rows.withColumn("rule", rule).withColumn("by_rule", verdict)

@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from orrery.llm import common
 
-SALTS = 32
 DATE = "2024-01-01T00:00:00Z"
 RECORD = "record_id string, type string, concurrent_to string, target string, date string, refers_to string, payload_digest string, payload_bytes long, page_id long, block binary"
 
@@ -38,8 +37,8 @@ def record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
     return gzip.compress(head.encode("utf-8", "surrogatepass") + block + b"\r\n\r\n", 4, mtime=0)
 
 
-def capture_records(page_id: int | None, row: int, url: str | None, payload: bytes, first: tuple[int | None, int] | None) -> list[bytes]:
-    """The gzip members of one capture; ``first``: page and row of the response that it revisits."""
+def capture_records(page_id: int | None, row: int, url: str | None, payload: bytes, first: int | None) -> list[bytes]:
+    """The gzip members of one capture; ``first``: row of the response that it revisits."""
     name = lambda kind, n: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{kind}/{n}')}>"
     target = ("WARC-Target-URI", " ".join((url or "").split()))
     mine = name("capture", row)
@@ -48,12 +47,10 @@ def capture_records(page_id: int | None, row: int, url: str | None, payload: byt
     if first is None:
         main = record("response", [*fields, ("Content-Type", "application/http;msgtype=response")], http + payload)
     else:
-        fields += [("WARC-Refers-To", name("capture", first[1])), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+        fields += [("WARC-Refers-To", name("capture", first)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
         main = record("revisit", [*fields, ("Content-Type", "application/http;msgtype=response")], http)
     ask = record("request", [("WARC-Record-ID", name("request", row)), target, ("WARC-Concurrent-To", mine), ("Content-Type", "application/http;msgtype=request")], b"GET / HTTP/1.1\r\n\r\n")
     about = "" if page_id is None else f"page: {page_id}\r\n"
-    if first is not None and first[0] is not None:
-        about += f"refers-to-page: {first[0]}\r\n"
     meta = record("metadata", [("WARC-Record-ID", name("metadata", row)), target, ("WARC-Concurrent-To", mine), ("Content-Type", "application/warc-fields")], about.encode())
     return [main, ask, meta]
 
@@ -66,10 +63,9 @@ def write_archives(pages: DataFrame, path: str, *, least: int = 0) -> DataFrame:
     rows = rows.withColumn("sha", F.unhex(F.sha1("payload"))).withColumn("long", F.octet_length("payload") >= least)
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
     first = rows.where("long").groupBy("sha").agg(F.min(order).alias("f"), F.count("*").alias("n")).where("n > 1")
-    first = first.select("sha", F.col("f.page_id").alias("first_page"), F.col("f.row").alias("first_row"))
-    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("salt", F.when(F.col("long"), F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).otherwise(-1))
-    dealt = rows.join(salted, ["sha", "salt"], "left").select("page_id", "row", "url", "payload", "first_page", "first_row")
+    first = common.written(first.select("sha", F.col("f.row").alias("first_row"), "n"), "first-captures")
+    keyed = rows.withColumn("sha", F.when(F.col("long"), F.col("sha")))
+    dealt = common.skew_join(keyed, first.select("sha", "first_row"), "sha", "left", counts=first).select("page_id", "row", "url", "payload", "first_row")
 
     def store(batches):
         fs, base = common.open_fs(path)
@@ -77,17 +73,18 @@ def write_archives(pages: DataFrame, path: str, *, least: int = 0) -> DataFrame:
         try:
             for batch in batches:
                 for at in range(0, batch.num_rows, 64):
-                    for page, n, url, payload, fp, fr in zip(*(batch.slice(at, 64).column(i).to_pylist() for i in range(6))):
+                    for page, n, url, payload, fr in zip(*(batch.slice(at, 64).column(i).to_pylist() for i in range(5))):
                         if out is None:
                             fs.create_dir(base, recursive=True)
                             name = f"{base}/{uuid.uuid4().hex}.warc.gz"
-                            out = fs.open_output_stream(name, compression=None)
-                        for r in capture_records(page, n, url, payload, None if fr is None or fr == n else (fp, fr)):
+                            out = fs.open_output_stream(f"{name}.part", compression=None)
+                        for r in capture_records(page, n, url, payload, None if fr is None or fr == n else fr):
                             out.write(r)
         finally:
             if out is not None:
                 out.close()
-        if name:
+        if name:  # only a whole archive gets its name
+            fs.move(f"{name}.part", name)
             yield pa.RecordBatch.from_arrays([pa.array([name])], names=["path"])
 
     return common.written(dealt.mapInArrow(store, "path string"), "warc-files")
@@ -155,12 +152,33 @@ def transactions(records: DataFrame) -> DataFrame:
     return nested.where("capture is not null")
 
 
+def captures(found: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to (page of the response whose record id a revisit names) of
+    every transaction. Raises where a revisit's digest isn't that of the response."""
+    rows = found.select(
+        F.col("metadata")[0]["page_id"].alias("page_id"), "capture_id", F.col("capture.payload_bytes").alias("payload_bytes"),
+        F.col("capture.payload_digest").alias("payload_digest"), F.col("capture.type").alias("record_type"), F.col("capture.refers_to").alias("refers"),
+    )
+    rows = common.written(rows, "captures")
+    told = rows.where("record_type = 'response'").select(F.col("capture_id").alias("refers"), F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("its_digest"))
+    both = common.skew_join(rows, told, "refers", "left")
+    same = F.when(F.col("refers").isNull() | (F.col("payload_digest") == F.col("its_digest")), F.col("payload_digest"))
+    same = same.otherwise(F.raise_error(F.concat(F.lit("a revisit names no response of its payload: "), "capture_id")))
+    return both.select("page_id", "payload_bytes", same.alias("payload_digest"), "record_type", "refers_to")
+
+
 def op1_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.shared_path(spark, "warc")
-    found = transactions(read_records(write_archives(common.table(spark, sf_dir, "pages"), path), path))
-    note = F.col("metadata")[0]
-    said = F.regexp_extract(note["block"].cast("string"), r"refers-to-page: (-?\d+)", 1)
-    return found.select(
-        note["page_id"].alias("page_id"), F.col("capture.payload_bytes").alias("payload_bytes"), F.col("capture.payload_digest").alias("payload_digest"),
-        F.col("capture.type").alias("record_type"), F.when(said != "", said.cast("long")).alias("refers_to"),
-    )
+    return captures(transactions(read_records(write_archives(common.table(spark, sf_dir, "pages"), path), path)))
+
+
+#: SQL has no base32: five bits at a time of the SHA-1 digest's hex form, of which four digits of two make eight letters of five.
+_BITS = "list_reduce(list_transform(range(1, 41), lambda i: lpad(bin(instr('0123456789abcdef', substr(h, i, 1)) - 1), 4, '0')), lambda a, b: a || b)"
+ORACLE = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, h, {_BITS} AS bits FROM p),
+d AS (SELECT page_id, payload_bytes, list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  CAST(list_sum(list_transform(range(1, 6), lambda j: CAST(substr(bits, 5 * i + j, 1) AS INTEGER) * (1 << (5 - j)))) AS INTEGER) + 1, 1)), lambda a, b: a || b) AS payload_digest,
+  min(page_id) OVER (PARTITION BY h) AS f FROM b)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to FROM d
+"""
