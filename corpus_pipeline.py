@@ -1,6 +1,6 @@
 """The corpus pipeline: toxicity, near-duplicates, benchmark decontamination, packing; each stage works on what the one
-before it kept. The toxicity stage judges every row; the next two go by doc_id: rows that share one stay or go together, and rows without
-one can't be told apart and stay."""
+before it kept. Every stage judges rows, not doc_ids: the two in the middle give each row a number of its own, so rows that share a
+doc_id, or have none, are judged each."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from orrery.llm import common, decontaminate, minhash, packing, toxicity
 
+ROW = "_pipeline_row"
+
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the subword model doesn't predict toxic."""
@@ -16,18 +18,31 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.scores(docs, model, keep=True)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number of its own for each row, written."""
+    return common.written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs but the rows in gone, without their number."""
+    return docs.join(gone, ROW, "left_anti").drop(ROW)
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, and every document without words."""
-    found = minhash.near_duplicates(docs, k=5, percent=80)
-    gone = found.where("doc_id is not null and not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The row of the smallest doc_id (null: last) of each near-duplicate group, and every row without words."""
+    rows = numbered(docs)
+    found = minhash.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), k=5, percent=80)
+    groups = found.where("doc_id <> component_id").select("component_id").distinct()
+    members = common.written(found.select(F.col("doc_id").alias(ROW), "component_id").join(groups, "component_id", "left_semi").join(rows.select(ROW, "doc_id"), ROW), "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("f")).select(F.col(f"f.{ROW}").alias(ROW))
+    return without(rows, members.select(ROW).join(first, ROW, "left_anti"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    found = decontaminate.contamination(docs, common.table(spark, sf_dir, "benchmark"))
-    hit = found.where(F.col("contaminated") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    rows = numbered(docs)
+    found = decontaminate.contamination(rows.select(F.col(ROW).alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
+    return without(rows, found.where("contaminated").select(F.col("doc_id").alias(ROW)))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
