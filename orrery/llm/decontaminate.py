@@ -1,10 +1,11 @@
 """Benchmark decontamination over a distributed positional inverted index, by DataFrame operations only.
 
-The index stores, for every term of the test set, its postings in all documents (term, row, positions). Counts of the terms
-give each test window its rarest ones. Offset-adjusted lists are intersected from the rarest term on: a position of the
-rarest term fixes where the item would begin, and the next rarest term has to stand at its own distance in the same row.
-The item's other terms are then looked up in the postings of these rows alone, each at its own place (exact phrases) or
-within a slop of it (proximity).
+The index stores, for every term of the test set, a posting (t: number of the term, row, place) for each time that it stands
+in a document. It is written as the words come, row by row, so that it needs no shuffle. Counts of its terms give each test
+window its rarest ones. Offset-adjusted lists are intersected from the rarest term on: a posting of the rarest term fixes
+where the item would begin, and the next rarest term has to stand at its own distance in the same row. The item's other
+terms are then looked up in the postings of these rows alone, each at its own place (exact phrases) or within a slop of it
+(proximity).
 
 Joins carry no hints: Spark broadcasts a side only while its measured size is under spark.sql.autoBroadcastJoinThreshold
 and deals both sides out otherwise, so a large test set works as well.
@@ -47,55 +48,47 @@ def windows_of(items: DataFrame, n: int) -> DataFrame:
     return common.written(cut.withColumn("window", F.slice("words", F.col("i") + 1, n)), "windows")
 
 
-def term_counts(table: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, n: how often each of terms (term) stands in the documents, 0 included."""
-    found = table.select(F.explode("words").alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("n"))
-    return common.written(terms.join(found, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n")), "terms")
+def positional_index(table: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Postings (row, place, t) of the terms (term, t) in all documents; written."""
+    found = table.select("row", F.posexplode("words").alias("place", "term")).join(vocabulary, "term")
+    return common.written(found.select("row", "place", "t"), "postings")
 
 
-def probes(windows: DataFrame, counts: DataFrame) -> DataFrame:
+def probes(windows: DataFrame, terms: DataFrame) -> DataFrame:
     """item, t1, p1, t2, p2: for the windows of each item, its rarest term and the next one, with their places in the item.
 
-    Windows with a term that no document has are left out; windows with the same two probes are one row.
+    terms: term, t, n (how often it stands in the documents). Windows with a term that no document has are left out; windows
+    with the same two probes are one row.
     """
-    terms = windows.select("item", "i", F.posexplode("window").alias("o", "term")).join(counts, "term")
+    each = windows.select("item", "i", F.posexplode("window").alias("o", "term")).join(terms, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     best = Window.partitionBy("item", "i").orderBy("n", "term", "o")
-    ranked = terms.withColumn("k", F.row_number().over(best))
-    some = ranked.groupBy("item", "i").agg(
-        F.min("n").alias("least"),
-        F.max(F.when(F.col("k") == 1, F.struct("term", (F.col("o") + F.col("i")).alias("p")))).alias("a"),
-        F.max(F.when(F.col("k") == 2, F.struct("term", (F.col("o") + F.col("i")).alias("p")))).alias("b"),
-    )
+    ranked = each.withColumn("k", F.row_number().over(best))
+    probe = lambda k: F.max(F.when(F.col("k") == k, F.struct("t", (F.col("o") + F.col("i")).alias("p"))))
+    some = ranked.groupBy("item", "i").agg(F.min("n").alias("least"), probe(1).alias("a"), probe(2).alias("b"))
     b = F.coalesce("b", "a")
-    return common.written(some.where("least > 0").select("item", F.col("a.term").alias("t1"), F.col("a.p").alias("p1"), b["term"].alias("t2"), b["p"].alias("p2")).distinct(), "probes")
+    return common.written(some.where("least > 0").select("item", F.col("a.t").alias("t1"), F.col("a.p").alias("p1"), b["t"].alias("t2"), b["p"].alias("p2")).distinct(), "probes")
 
 
-def positional_index(table: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings (term, row, places) of terms (term) in all documents; written."""
-    found = table.select("row", F.posexplode("words").alias("place", "term")).join(terms, "term")
-    return common.written(found.groupBy("term", "row").agg(F.sort_array(F.collect_list("place")).alias("places")), "postings")
+def around(column: str, slop: int) -> list[F.Column]:
+    """For select: the places within slop of column, a row each."""
+    return [F.explode(F.sequence(F.col(column) - slop, F.col(column) + slop)).alias("place")] if slop else [F.col(column).alias("place")]
 
 
 def alignments(index: DataFrame, pairs: DataFrame, slop: int = 0) -> DataFrame:
     """row, item, shift: where the first word of an item would stand in a row, by both probes (each of them within slop)."""
-    first = pairs.join(index.toDF("t1", "row", "places"), "t1")
-    first = first.select("item", "row", "t2", (F.col("p2") - F.col("p1")).alias("far"), "p1", F.explode("places").alias("place"))
-    second = index.toDF("t2", "row", "others")
-    want = F.col("place") + F.col("far")
-    if slop:  # the rarest term may be off its own place as well
-        first = first.withColumn("off", F.explode(F.sequence(F.lit(-slop), F.lit(slop)))).withColumn("place", F.col("place") + F.col("off")).drop("off")
-    near = F.array_contains("others", want) if slop == 0 else F.exists("others", lambda x: F.abs(x - want) <= slop)
-    return first.join(second, ["t2", "row"]).where(near).select("row", "item", (F.col("place") - F.col("p1")).alias("shift")).distinct()
+    first = pairs.join(index.withColumnRenamed("t", "t1"), "t1").select("row", "item", "t2", "p1", "p2", *around("place", slop))
+    first = common.written(first.select("row", "item", F.col("t2").alias("t"), (F.col("place") - F.col("p1")).alias("shift"), (F.col("place") - F.col("p1") + F.col("p2")).alias("want")).distinct(), "first-probes")
+    near = index.join(first.select("t").distinct(), "t", "left_semi").join(first.select("row").distinct(), "row", "left_semi")
+    return first.select("row", "item", "t", "shift", *around("want", slop)).join(near, ["row", "t", "place"], "left_semi").select("row", "item", "shift").distinct()
 
 
 def matched(index: DataFrame, found: DataFrame, items: DataFrame, slop: int = 0) -> DataFrame:
     """row, item, shift, size, spots (map from the number of a word of the item to the places where it stands, at its own place
-    or within slop of it) of every alignment (row, item, shift), from the postings."""
+    or within slop of it) of every alignment (row, item, shift), from the postings; items: item, size, o, t."""
     near = common.written(index.join(found.select("row").distinct(), "row", "left_semi"), "aligned-postings")
-    asked = found.join(items.select("item", F.size("want").alias("size"), F.posexplode("want").alias("o", "term")), "item")
-    own = F.col("shift") + F.col("o")
-    at = F.filter("places", lambda p: F.abs(p - own) <= slop) if slop else F.filter("places", lambda p: p == own)
-    stood = asked.join(near, ["term", "row"]).select("row", "item", "shift", "size", "o", at.alias("at")).where(F.size("at") > 0)
+    asked = found.join(items, "item").withColumn("own", F.col("shift") + F.col("o"))
+    stood = asked.select("row", "item", "shift", "size", "o", "t", *around("own", slop)).join(near, ["row", "t", "place"])
+    stood = stood.groupBy("row", "item", "shift", "size", "o").agg(F.collect_list("place").alias("at")) if slop else stood.withColumn("at", F.array("place"))
     return stood.groupBy("row", "item", "shift", "size").agg(F.map_from_entries(F.collect_list(F.struct("o", "at"))).alias("spots"))
 
 
@@ -105,11 +98,12 @@ def phrase_matches(table: DataFrame, windows: DataFrame, n: int = 10, slop: int
     With a slop, each word of a window may stand up to ``slop`` words away from its own place, and hit holds the whole
     stretch between the first and the last place where one of the window's words so stands.
     """
-    counts = term_counts(table, common.written(windows.select(F.explode("window").alias("term")).distinct(), "vocabulary"))
-    pairs = probes(windows, counts)
-    index = positional_index(table, counts.where("n > 0").select("term"))
-    found = common.written(alignments(index, pairs, slop), "alignments")
-    items = common.written(windows.select("item", F.col("words").alias("want")).distinct(), "wanted")
+    vocabulary = common.written(windows.select(F.explode("window").alias("term")).distinct().withColumn("t", F.monotonically_increasing_id()), "vocabulary")
+    index = positional_index(table, vocabulary)
+    terms = common.written(vocabulary.join(index.groupBy("t").agg(F.count("*").alias("n")), "t"), "terms")
+    found = common.written(alignments(index, probes(windows, terms), slop), "alignments")
+    items = windows.select("item", F.col("words").alias("want")).distinct().select("item", F.size("want").alias("size"), F.posexplode("want").alias("o", "term"))
+    items = common.written(items.join(terms, "term").select("item", "size", "o", "t"), "wanted")
     both = matched(index, found, items, slop).withColumn("wide", F.least("size", F.lit(n)))
     # runs of words that stand: the length of the run that ends at each word, then the windows that end in a run as long
     every = F.sequence(F.lit(0), F.col("size") - 1)
