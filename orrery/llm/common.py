@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +67,30 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def text_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Arrow batches of fewer rows than Spark's default of 10,000: as many texts take tens of MB in both processes at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) == 10_000:
+        spark.conf.set(key, str(rows))
+
+
+def tidy(run):
+    """run (a function of Arrow batches) that gives unused memory back at its end, since workers live on from stage to stage."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -251,8 +251,10 @@ def main_text(page: str | None, tree: tuple) -> str:
 
 def extract(pages: DataFrame, tree: tuple | None = None) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages (page_id, url, html)."""
+    common.text_batches(pages.sparkSession)
     tree = tree or trained()
 
+    @common.tidy
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 128):

@@ -115,6 +115,7 @@ def survivors(a: np.ndarray, b: np.ndarray, least: list[int]) -> np.ndarray:
 def sketches(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, set_a, set_b (128-bit hash of the set), sig."""
 
+    @common.tidy
     def sketch(batches):
         import xxhash
 
@@ -145,6 +146,7 @@ def keys_of(sig: bytes) -> list[int]:
 def band_keys(reps: DataFrame) -> DataFrame:
     """(key, rep), one row for each band of each signature."""
 
+    @common.tidy
     def bands(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
@@ -159,6 +161,7 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percen
     """The candidate pairs (a, b) that are links: first by signatures, then on the full sets."""
     least = least_matches(percent / 100)
 
+    @common.tidy
     def screen(batches):
         for batch in batches:
             if batch.num_rows:
@@ -166,6 +169,7 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percen
                 at = pa.array(survivors(a, b, least))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
+    @common.tidy
     def compare(batches):
         last, mine = None, set()
         for batch in batches:
@@ -267,6 +271,7 @@ def screened(dealt: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         columns = [*([x] * len(ids) for x in (*group, side)), ids, parts, partners]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=["key", "line", "column", "side", "rep", "c", "partners"])
 
+    @common.tidy
     def screen(batches):
         at, left, used = None, None, np.zeros(0, bool)
         for group, side, rows in groups(batches, 64):
@@ -343,6 +348,7 @@ def across_links(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: D
     sent = dealt.join(texts_of(docs, dealt.select("rep")), "rep")
     sent = sent.repartition(common.row_parallelism(docs.sparkSession), *group).sortWithinPartitions(*group, "side")
 
+    @common.tidy
     def compare(batches):
         hasher, at, left = Hasher(k), None, None
         for group, side, rows in groups(batches, 64):
@@ -357,6 +363,7 @@ def across_links(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: D
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
+    common.text_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     all_ = common.written(sketches(docs, k), "sketches")
     full = all_.where("n_shingles > 0 and doc_id is not null")

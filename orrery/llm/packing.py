@@ -29,9 +29,11 @@ RANKED = 200_000
 def token_pieces(docs: DataFrame, *, size: int = 2048, end_id: int = 0, tokenizer: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document with its end id; only those above ``size`` ids are cut,
     from their end on, so that only the first piece can be shorter."""
+    common.text_batches(docs.sparkSession)
     tokenizer = tokenizer or default_tokenizer()
     end = np.asarray([end_id], "<u4").tobytes()
 
+    @common.tidy
     def cut(batches):
         enc = encoder(tokenizer)
         for batch in batches:
@@ -129,6 +131,7 @@ def pack(pieces: DataFrame, *, size: int = 2048) -> DataFrame:
     where = places(plan_bins(table.sum(axis=1)), size)
     ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32", "_row")) - 1)
 
+    @common.tidy
     def place(batches):
         forget()
         for batch in batches:

@@ -77,6 +77,7 @@ def write_shards(
     shuffled, once, to ranges of doc_id.
     """
     spark, tokenizer = docs.sparkSession, tokenizer or default_tokenizer()
+    common.text_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     width = width_of(tokenizer, end_id, width)
     data = train_dictionary(sample_ids(docs, tokenizer, width, sample_rows, sample_chars))
@@ -85,6 +86,7 @@ def write_shards(
     cuts = docs.select(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)] or [0.5], 100_000)).first()[0] or []
     bounds = np.unique(np.asarray(cuts if shards > 1 else [], dtype=np.int64))
 
+    @common.tidy
     def frames(batches):
         import zstandard
 
@@ -102,6 +104,7 @@ def write_shards(
                     names=["doc_id", "shard", "n_tokens", "frame"],
                 )
 
+    @common.tidy
     def store(batches):
         forget()
         fs, base = common.open_fs(path)
@@ -159,6 +162,7 @@ def read_shards(index: DataFrame, path: str) -> DataFrame:
         base[shard] = before
         before += n
 
+    @common.tidy
     def read(batches):
         import zstandard
 

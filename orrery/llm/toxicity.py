@@ -160,8 +160,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, chars: i
 
 def scores(docs: DataFrame, model: Scorer, *, cut: float = CUT, keep: bool = False) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; with ``keep`` the rows of docs that aren't predicted toxic, as they are."""
+    common.text_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((np.array(model.logit, np.float32), model.bias))  # BUCKETS * 4 bytes
 
+    @common.tidy
     def judge(batches):
         scorer = Scorer(*sent.value)
         for batch in batches:

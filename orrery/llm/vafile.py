@@ -58,6 +58,7 @@ def build(vectors: DataFrame, name: str = "va-file") -> DataFrame:
     """The file: one row per chunk with ids, low and width (cells of each dimension), cells and the path of its exact vectors; written."""
     base = common.shared_path(vectors.sparkSession, f"{name}-exact")
 
+    @common.tidy
     def chunks(batches):
         fs, place = common.open_fs(base)
         kept: list = []
@@ -123,6 +124,7 @@ def candidates(vectors: DataFrame, queries: DataFrame, width: int, k: int) -> Da
     path = common.shared_path(spark, "queries")
     queries.where(F.size("v") == width).write.parquet(path)
 
+    @common.tidy
     def search(batches):
         import pyarrow.dataset as ds
 

@@ -57,6 +57,7 @@ def capture_records(page_id: int | None, row: int, url: str | None, payload: byt
 
 def write_archives(pages: DataFrame, path: str, *, least: int = 0) -> DataFrame:
     """Writes pages (page_id, url, html) as archives under ``path``; the table of files (path) that count, written."""
+    common.text_batches(pages.sparkSession)
     html = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     row = F.monotonically_increasing_id()
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("payload")).withColumn("row", row)
@@ -67,6 +68,7 @@ def write_archives(pages: DataFrame, path: str, *, least: int = 0) -> DataFrame:
     keyed = rows.withColumn("sha", F.when(F.col("long"), F.col("sha")))
     dealt = common.skew_join(keyed, first.select("sha", "first_row"), "sha", "left", counts=first).select("page_id", "row", "url", "payload", "first_row")
 
+    @common.tidy
     def store(batches):
         fs, base = common.open_fs(path)
         name = out = None
@@ -106,6 +108,7 @@ def parse(stream):
 def read_records(files: DataFrame, path: str, *, blocks: bool = False) -> DataFrame:
     """One row per record; digest and size of a response are those of the payload as read, checked against its field."""
 
+    @common.tidy
     def read(batches):
         fs, _ = common.open_fs(path)
         for batch in batches:
