@@ -78,7 +78,10 @@ def alignments(index: DataFrame, pairs: DataFrame, slop: int = 0) -> DataFrame:
     """row, item, shift: where the first word of an item would stand in a row, by both probes (each of them within slop)."""
     first = pairs.join(index.withColumnRenamed("t", "t1"), "t1").select("row", "item", "t2", "p1", "p2", *around("place", slop))
     first = common.written(first.select("row", "item", F.col("t2").alias("t"), (F.col("place") - F.col("p1")).alias("shift"), (F.col("place") - F.col("p1") + F.col("p2")).alias("want")).distinct(), "first-probes")
-    near = index.join(first.select("t").distinct(), "t", "left_semi").join(first.select("row").distinct(), "row", "left_semi")
+    # written, so that their size is known and the index is only dealt out where they are large
+    near = index
+    for column in ("t", "row"):
+        near = near.join(common.written(first.select(column).distinct(), f"probed-{column}"), column, "left_semi")
     return first.select("row", "item", "t", "shift", *around("want", slop)).join(near, ["row", "t", "place"], "left_semi").select("row", "item", "shift").distinct()
 
 
