@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from orrery.llm import common
 from orrery.llm.tokens import default_tokenizer, encoder, forget
 
-#: Pieces of one length that a task ranks.
-RANKED = 200_000
+#: Pieces of one length that a task ranks: one in SHARES of all, but at least LEAST and at most MOST.
+SHARES, LEAST, MOST = 1000, 256, 200_000
 
 
 def token_pieces(docs: DataFrame, *, size: int = 2048, end_id: int = 0, tokenizer: str | None = None) -> DataFrame:
@@ -120,8 +120,10 @@ def places(bins: list[tuple[int, list[int]]], size: int) -> dict[str, np.ndarray
 def pack(pieces: DataFrame, *, size: int = 2048) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32)."""
     pieces = common.written(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
-    # a length with many pieces is dealt over as many salts as it needs: 1 in RANKED pieces, and one for each length
-    salts = [(n, -(-k // RANKED)) for n, k in pieces.groupBy("length").count().collect()]
+    # a length with many pieces is dealt over as many salts as it needs
+    counts = pieces.groupBy("length").count().collect()
+    ranked_at_once = min(MOST, max(LEAST, sum(k for _, k in counts) // SHARES))
+    salts = [(n, -(-k // ranked_at_once)) for n, k in counts]
     dealt = F.broadcast(pieces.sparkSession.createDataFrame(salts, "length long, _salts int"))
     salted = pieces.join(dealt, "length").withColumn("_salt", F.pmod(F.xxhash64("_row"), F.col("_salts")).cast("int"))
     table = np.zeros((size + 1, max([k for _, k in salts], default=1)), np.int64)
