@@ -59,9 +59,9 @@ def write_archives(pages: DataFrame, path: str, *, least: int = 0) -> DataFrame:
     """Writes pages (page_id, url, html) as archives under ``path``; the table of files (path) that count, written."""
     common.text_batches(pages.sparkSession)
     html = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    row = F.monotonically_increasing_id()
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("payload")).withColumn("row", row)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("payload")).withColumn("row", F.monotonically_increasing_id())
     rows = rows.withColumn("sha", F.unhex(F.sha1("payload"))).withColumn("long", F.octet_length("payload") >= least)
+    rows = common.written(rows, "pages")  # so that a row keeps its number whoever reads it
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
     first = rows.where("long").groupBy("sha").agg(F.min(order).alias("f"), F.count("*").alias("n")).where("n > 1")
     first = common.written(first.select("sha", F.col("f.row").alias("first_row"), "n"), "first-captures")
