@@ -32,8 +32,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The row of the smallest doc_id (null: last) of each near-duplicate group, and every row without words."""
     rows = numbered(docs)
     found = minhash.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), k=5, percent=80)
-    groups = found.where("doc_id <> component_id").select("component_id").distinct()
-    members = common.written(found.select(F.col("doc_id").alias(ROW), "component_id").join(groups, "component_id", "left_semi").join(rows.select(ROW, "doc_id"), ROW), "members")
+    found = common.written(found.select(F.col("doc_id").alias(ROW), "component_id"), "components-of-rows")
+    # a group may hold a third of all rows: its rows but the root need no look at the others, and roots have keys of their own
+    others, roots = found.where(F.col(ROW) != F.col("component_id")), found.where(F.col(ROW) == F.col("component_id"))
+    some = others.union(roots.join(others.select("component_id").distinct(), "component_id", "left_semi").select(ROW, "component_id"))
+    members = common.written(some.join(rows.select(ROW, "doc_id"), ROW), "members")
     first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW)).alias("f")).select(F.col(f"f.{ROW}").alias(ROW))
     return without(rows, members.select(ROW).join(first, ROW, "left_anti"))
 
