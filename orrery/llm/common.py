@@ -10,7 +10,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -128,3 +128,33 @@ def crc32_of(column) -> "F.Column":
 
 def row_parallelism(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def placed(rows: DataFrame, per: str, order: list[str], name: str) -> DataFrame:
+    """rows with ``name``, the place (from 0) among those of the same ``per`` in ascending ``order``, nulls first, and
+    ``name``_of, their number. ``rows`` are read twice: give a written table.
+
+    Rows are dealt to ranges of the order, ties too, and row_number counts within a range; ranges are offset by the counts
+    of those before them, so no task holds all rows of a ``per``, and a key that repeats is spread.
+    """
+    dealt = rows.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(row_parallelism(rows.sparkSession), per, *order, "__tie")
+    dealt = written(dealt.withColumn("__range", F.spark_partition_id()), "placed")
+    counts = dealt.groupBy(per, "__range").agg(F.count("*").alias("__n"))
+    every = Window.partitionBy(per)  # a row for each range
+    upto = every.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col(per).alias("__per"), F.col("__range").alias("__r"), F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__before"), F.sum("__n").over(every).alias(f"{name}_of"))
+    local = F.row_number().over(Window.partitionBy(per, "__range").orderBy(*order, "__tie"))
+    found = dealt.withColumn(name, local).join(offsets, F.col(per).eqNullSafe(F.col("__per")) & (F.col("__range") == F.col("__r")))
+    return found.withColumn(name, F.col(name) + F.col("__before") - 1).drop("__tie", "__range", "__r", "__per", "__before")
+
+
+def crc32_sql(column: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of a string's UTF-8 bytes (null: of none), by the table of the reversed polynomial."""
+    table = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    step = f"xor(c >> 8, list_extract({table}::BIGINT[], CAST(xor(c & 255, b) + 1 AS BIGINT)))"
+    of = f"list_transform(regexp_extract_all(hex(encode(coalesce({column}, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {of}), lambda c, b: {step}), 4294967295)"

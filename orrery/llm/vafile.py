@@ -28,13 +28,13 @@ from orrery.llm import common
 CHUNK, QUERY_BLOCK, CELLS, LENGTHS = 16_384, 512, 64, 64
 
 
-def integer_vectors(table: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id, v: floor(scale * x) of each component; only usable vectors."""
+def integer_vectors(table: DataFrame, scale: int = 256, also: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """vec_id, ``also`` and v: floor(scale * x) of each component; only usable vectors."""
     x = F.col("embedding").cast("array<double>")
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    good = table.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("embedding")).where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~bad)
+    good = table.select(F.col("vec_id").cast("long").alias("vec_id"), *also, x.alias("embedding")).where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~bad)
     whole = lambda c: F.when(F.abs(c * scale) < 2.0**62, F.floor(c * scale)).otherwise(F.raise_error(F.lit("a component is too large")))
-    return good.select("vec_id", F.transform("embedding", whole).alias("v"))
+    return good.select("vec_id", *also, F.transform("embedding", whole).alias("v"))
 
 
 class Exact:
