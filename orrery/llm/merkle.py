@@ -155,7 +155,8 @@ def manifest(rows: DataFrame, fanout: int = 2) -> DataFrame:
     numbered = common.placed(roots, "all", ["of"], "i").select(F.col("all").alias("g"), "i", F.col("i_of").alias("n"), "d", "of")
     over = build(common.written(numbered, "numbered-subroots"), fanout)
     # one row: the root of the tree over all groups
-    top = over.paths().select(F.col("of").alias("g"), F.lower(F.hex("d")).alias("subroot"), F.col("path").alias("over")).crossJoin(F.broadcast(over.roots().select(F.lower(F.hex("d")).alias("root"))))
+    root = over.roots().select("g", F.lower(F.hex("d")).alias("root"))
+    top = over.paths().join(F.broadcast(root), "g").select(F.col("of").alias("g"), F.lower(F.hex("d")).alias("subroot"), F.col("path").alias("over"), "root")
     found = _attached(trees.paths(), common.written(top, "roots"))
     return found.withColumn("path", F.concat("path", "over")).drop("over", "d", "i", "n")
 
