@@ -171,16 +171,12 @@ def _summed_long(rows: DataFrame, size: int, partial) -> np.ndarray:
 
 
 def logits(rows: DataFrame, features: list[str], w: Weights) -> DataFrame:
-    """rows with logit; null where a feature is null."""
-    names = rows.columns
-    kept = rows.select(*names, *(F.col(f).cast("float").alias(f"_x{i}") for i, f in enumerate(features)))
-
-    def judge(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, FORWARD_ROWS):
-                part = batch.slice(at, FORWARD_ROWS)
-                x = blocks.matrix(part, [f"_x{i}" for i in range(len(features))]).astype(np.float64)
-                z = forward(w, np.nan_to_num(x))[2]
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(names))), pa.array(z, mask=np.isnan(x).any(axis=1))], names=[*names, "logit"])
-
-    return kept.mapInArrow(judge, T.StructType([*rows.schema.fields, T.StructField("logit", T.DoubleType())]))
+    """rows with logit; null where a feature is null. Only the features go through numpy."""
+
+    @F.arrow_udf(T.DoubleType())
+    def judge(*columns: pa.Array) -> pa.Array:
+        x = np.stack([c.to_numpy(zero_copy_only=False) for c in columns], axis=1).astype(np.float32).astype(np.float64)
+        z = np.concatenate([forward(w, np.nan_to_num(x[at : at + FORWARD_ROWS]))[2] for at in range(0, len(x), FORWARD_ROWS)] or [np.zeros(0)])
+        return pa.array(z, mask=np.isnan(x).any(axis=1))
+
+    return rows.withColumn("logit", judge(*(F.col(f).cast("float") for f in features)))

@@ -95,23 +95,24 @@ p AS (SELECT {', '.join(KEYS)}, zr.y, CASE WHEN leaf.p >= leaf.q THEN 1 ELSE -1
 @query(_EDGES + "SELECT feature, CAST(b AS INTEGER) AS b, round(edge, 6) AS edge FROM edges")
 def dt_edges(spark, sf_dir):
     train, _ = _prepared(spark, sf_dir)
-    return tree.bin_edges(train, FEATURES).select("feature", F.col("b").cast("int").alias("b"), F.round("edge", 6).alias("edge"))
+    edges = tree.bin_edges(tree.blocks.packed(train, FEATURES), FEATURES)
+    return spark.createDataFrame([(f, b, round(e, 6)) for f in FEATURES for b, e in enumerate(edges[f], 1)], "feature string, b int, edge double")
 
 
 def _root(spark, sf_dir) -> DataFrame:
     train, _ = _prepared(spark, sf_dir)
-    edges = tree.edge_lists(tree.bin_edges(train, FEATURES), FEATURES)
-    return tree.histograms(tree.binned(tree.blocks.packed(train, FEATURES), FEATURES, edges), FEATURES, [tree.Node(0, 0, 0)], [0])
+    packed = tree.blocks.packed(train, FEATURES)
+    return tree.histograms(tree.binned(packed, FEATURES, tree.bin_edges(packed, FEATURES)), FEATURES, [tree.Node(0, 0, 0)], [0])
 
 
 @query(_BINNED + _level(0) + "SELECT CAST(j AS BIGINT) AS feature, CAST(bin AS BIGINT) AS bin, pos, neg FROM h0")
 def dt_root_histogram(spark, sf_dir):
-    return _root(spark, sf_dir).select("feature", "bin", "pos", "neg")
+    return _root(spark, sf_dir).select("feature", "bin", F.col("pos").cast("long").alias("pos"), F.col("neg").cast("long").alias("neg"))
 
 
 @query(_BINNED + _level(0) + "SELECT CAST(j AS BIGINT) AS feature, CAST(bin AS BIGINT) AS bin, round(gain, 9) AS gain FROM g0")
 def dt_root_gains(spark, sf_dir):
-    return tree.split_gains(_root(spark, sf_dir)).where("gain is not null").select("feature", "bin", F.round("gain", 9).alias("gain"))
+    return tree.gains(_root(spark, sf_dir), FEATURES, tree.gini_gains(tree.Params())).select("feature", "bin", F.round("gain", 9).alias("gain"))
 
 
 @query(_BINNED + _level(0) + _level(1) + "SELECT CAST(node AS BIGINT) AS node, CAST(j AS BIGINT) AS feature, CAST(bin AS BIGINT) AS bin, round(gain, 9) AS gain FROM s0 UNION ALL SELECT CAST(node AS BIGINT), CAST(j AS BIGINT), CAST(bin AS BIGINT), round(gain, 9) FROM s1")
