@@ -1,23 +1,25 @@
 """Multilayer perceptron: features -> hidden -> hidden -> one logit, ReLU, cross-entropy, momentum.
 
-Two ways to train: ``fit`` takes minibatches in a seeded order one after the other, as the model is defined; they are read from
-a written table partition by partition, so the driver holds one partition at a time. ``fit_full`` takes one step an epoch on
-the gradient of all rows, added up in the tasks, for tables where steps of 128 rows make no sense. Both share weights,
-gradient and update.
+Two ways to train: ``fit`` takes minibatches in a seeded order one after the other, as the model is defined, on one worker or on
+several that share every step in a barrier stage. ``fit_full`` takes one step an epoch on the gradient of all rows, added up in
+the tasks, for tables where steps of 128 rows make no sense. Both share weights, gradient and update.
 """
 
 from __future__ import annotations
 
+import base64
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orrery import storage
 from orrery.functions import scalar
-from orrery.operators import blocks, ordering
+from orrery.operators import blocks, sequences
 
 LAYERS = ("w1", "b1", "w2", "b2", "w3", "b3")
 FORWARD_ROWS = 512
@@ -32,8 +34,11 @@ class Params:
     batch: int = 128
     hidden: tuple[int, int] = (64, 32)
     seed: int = 42
+    workers: int = 1
 
     def __post_init__(self):
+        for name in ("batch", "workers"):
+            object.__setattr__(self, name, max(getattr(self, name), 1))
         for name in ("epochs", "lr", "decay"):
             object.__setattr__(self, name, max(getattr(self, name), 0))
 
@@ -102,32 +107,74 @@ class Model:
         return z.withColumn("pred", F.when(F.col("logit") >= 0, 1).when(F.col("logit") < 0, -1))
 
 
-def fit(train: DataFrame, features: list[str], keys: list[str], params: Params = Params(), weights: Weights | None = None) -> Model:
-    """Trained by minibatches in the order of each epoch's seeded shuffle; rows that don't fill a batch are left out.
-
-    keys identify a row. Nothing is trained without rows, features, epochs or a learning rate, or with less than a batch.
+def _epoch(told: sequences.Dealt, w: Weights, speed: Weights, epoch: int, batches: int, params: Params, worker: int, gather) -> tuple[float, int]:
+    """Steps of one epoch on one worker; ``gather`` gives every worker's numbers in the order of workers. All end with equal weights."""
+    total, n, lr, rows = 0.0, 0, scalar.decayed(params.lr, epoch), params.batch * params.workers
+    own = np.zeros(1 + sum(v.size for v in w.values()))
+    for x, y, ends in told.batches(worker, params.seed, epoch, params.batch, batches):
+        loss, grad = backward(w, x.astype(np.float64), (y == 1).astype(float))
+        own += np.concatenate([[loss], flat(grad)])
+        if ends:
+            every = sum(gather(own))
+            update(w, speed, shaped(every[1:], w), rows, lr, params)
+            total, n = total + every[0], n + rows
+            own = np.zeros_like(own)
+    return float(total), n
+
+
+def fit(train: DataFrame, features: list[str], keys: list[str], params: Params = Params(), weights: Weights | None = None, *, ties: list[str] | None = None, saved: str | None = None) -> Model:
+    """Trained by minibatches in a seeded order; rows that don't fill a step are left out.
+
+    Rows are dealt to ``workers`` once, ``batch`` rows to each in turn in the order of the seeded shuffle of ``keys``; after the
+    first epoch each worker permutes its blocks and the rows in them. An epoch is one barrier stage: each worker adds up the
+    gradient of its batch, all gather the others' and take the same step, on batch * workers rows. No row passes through the
+    driver. A lost task restarts its epoch from the weights that it began with; with ``saved``, a folder, every epoch's
+    state is written there, and a later call goes on from the last one. Nothing is trained without rows, features, epochs
+    or a learning rate, or with less than a step.
     """
-    w = weights or initial(len(features), params)
+    w = {n: v.copy() for n, v in (weights or initial(len(features), params)).items()}
     model = Model(features, w, [])
     if not features or params.epochs <= 0 or params.lr <= 0:
         return model
-    rows = blocks.complete(train, features).select(*keys, *(F.col(f).cast("float").alias(f) for f in features), "y")
+    spark = train.sparkSession
+    told = sequences.dealt(train, features, keys, params.workers, batch=params.batch, seed=params.seed, ties=ties)
+    batches = told.rows // (params.batch * params.workers)
     speed = {n: np.zeros_like(v) for n, v in w.items()}
-    for epoch in range(params.epochs):
-        dealt = ordering.minibatches(rows, keys, seed=params.seed, epoch=epoch, size=params.batch)
-        step = dealt.groupBy("batch").agg(F.collect_list(F.struct(*features, F.col("y").cast("int").alias("y"))).alias("rows")).orderBy("batch")
-        lr, total, n = scalar.decayed(params.lr, epoch), 0.0, 0
-        for row in step.toLocalIterator(prefetchPartitions=True):  # one partition of batches at a time
-            table = np.array([tuple(r) for r in row["rows"]], np.float64)
-            loss, grad = backward(w, table[:, :-1], (table[:, -1] == 1).astype(float))
-            update(w, speed, grad, len(table), lr, params)
-            total, n = total + loss, n + len(table)
-        if not n:
-            break
-        model.epoch_loss.append(total / n)
+    for epoch in range(params.epochs if batches else 0):
+        place = f"{saved}/epoch={epoch}" if saved else storage.shared_path(spark, f"perceptron-{epoch}")
+
+        def run(rows, w=w, speed=speed, epoch=epoch):
+            context = BarrierTaskContext.get()
+            worker = context.partitionId()
+
+            def gather(v: np.ndarray) -> list[np.ndarray]:
+                if params.workers == 1:
+                    return [v]
+                return [np.frombuffer(base64.b64decode(s), np.float64) for s in context.allGather(base64.b64encode(v.tobytes()).decode())]
+
+            for _ in rows:
+                pass
+            w, speed = dict(w), dict(speed)
+            total, n = _epoch(told, w, speed, epoch, batches, params, worker, gather)
+            if worker == 0:
+                yield pa.RecordBatch.from_arrays([pa.array([total / n]), pa.array([flat(w).tolist()]), pa.array([flat(speed).tolist()])], names=["loss", "w", "speed"])
+
+        schema = "loss double, w array<double>, speed array<double>"
+        state = spark.read.schema(schema).parquet(place).first() if saved and _there(place) else None
+        if state is None:
+            spark.range(0, params.workers, 1, params.workers).mapInArrow(run, schema, barrier=True).write.mode("overwrite").parquet(place)
+            state = spark.read.schema(schema).parquet(place).first()
+        w, speed = shaped(np.array(state["w"]), w), shaped(np.array(state["speed"]), w)
+        model.weights = w
+        model.epoch_loss.append(state["loss"])
     return model
 
 
+def _there(place: str) -> bool:
+    fs, path = storage.open_fs(place)
+    return fs.get_file_info(f"{path}/_SUCCESS").is_file
+
+
 def fit_full(train: DataFrame, features: list[str], params: Params = Params(), weights: Weights | None = None) -> Model:
     """Trained by one step an epoch on the gradient of all rows."""
     w = weights or initial(len(features), params)
@@ -145,7 +192,7 @@ def fit_full(train: DataFrame, features: list[str], params: Params = Params(), w
                 loss, grad = backward(now, x.astype(np.float64), (y == 1).astype(float))
                 return np.concatenate([[len(y), loss], flat(grad)])
 
-            n, loss, *grad = blocks.summed(rows, size + 2, partial) if size < 200 else _summed_long(rows, size + 2, partial)
+            n, loss, *grad = _summed_long(rows, size + 2, partial)
             if not n:
                 break
             update(w, speed, shaped(np.array(grad), w), n, scalar.decayed(params.lr, epoch), params)

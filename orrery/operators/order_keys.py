@@ -111,4 +111,4 @@ def columns(packed: DataFrame, features: int, few: int, positions) -> list[tuple
                 halves[j][code >> 16] = halves[j].get(code >> 16, 0) + n
             wanted[j] = positions(sum(halves[j].values()))
     found = at_positions(packed, halves, wanted)
-    return [([], found[j]) if j in wanted else (values_of(np.array(sorted(first[j][0]), np.uint32)).tolist(), []) for j in range(features)]
+    return [([], found.get(j, [])) if j in wanted else (values_of(np.array(sorted(first[j][0]), np.uint32)).tolist(), []) for j in range(features)]

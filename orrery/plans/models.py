@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions import scalar
-from orrery.operators import encode, evaluate, knn, mlp, ordering, prep, tree
+from orrery.operators import boosted, encode, evaluate, exact_tree, hinge_sgd, knn, mlp, ordering, prep, tree
 from orrery.plans.bayes_svm import _Z, _prepared
 from orrery.plans.registry import registry
 from orrery.plans.tasks import FEATURES, KEYS, TASK_SQL, embedding_task, lineitem_task
@@ -135,6 +135,63 @@ def dt_metrics(spark, sf_dir):
     return evaluate.metrics(tree.fit(train, FEATURES).transform(test))
 
 
+# --- exact and boosted trees ------------------------------------------------------------------------------------------------
+
+_LONG = f"""{_Z}, zr AS (SELECT row_number() OVER () AS id, * FROM z),
+long AS (UNPIVOT (SELECT id, y, is_test, {', '.join(f'CAST({f} AS DOUBLE) AS {f}' for f in FEATURES)} FROM zr) ON {', '.join(FEATURES)} INTO NAME feature VALUE x),
+bl AS MATERIALIZED (SELECT id, y, is_test, {_NUMBER} AS j, x FROM long), n0 AS (SELECT id, y, is_test, 0 AS node FROM zr)
+"""
+
+
+def _exact_level(d: int) -> str:
+    """The best cuts of depth d over all distinct values, and the nodes of the next one."""
+    gini = lambda p, q: _GINI.format(p=f"({p})", q=f"({q})")
+    return f""", h{d} AS (SELECT node, j, x, count(*) FILTER (bl.y = 1) AS pos, count(*) FILTER (bl.y <> 1) AS neg FROM bl JOIN n{d} n USING (id) WHERE NOT bl.is_test GROUP BY ALL),
+a{d} AS (SELECT node, j, x, lead(x) OVER w AS nx, CAST(sum(pos) OVER w AS BIGINT) AS lp, CAST(sum(neg) OVER w AS BIGINT) AS ln, CAST(sum(pos) OVER v AS BIGINT) AS p, CAST(sum(neg) OVER v AS BIGINT) AS q
+  FROM h{d} WINDOW w AS (PARTITION BY node, j ORDER BY x), v AS (PARTITION BY node, j)),
+g{d} AS (SELECT node, j, (x + nx) * 0.5::DOUBLE AS cut, {gini('p', 'q')} - (lp + ln) / CAST(p + q AS DOUBLE) * {gini('lp', 'ln')} - (p + q - lp - ln) / CAST(p + q AS DOUBLE) * {gini('p - lp', 'q - ln')} AS gain
+  FROM a{d} WHERE nx IS NOT NULL AND lp + ln >= 5 AND p + q - lp - ln >= 5 AND p + q >= 20 AND p > 0 AND q > 0),
+s{d} AS MATERIALIZED (SELECT * FROM g{d} WHERE gain >= 1e-7 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, j, cut) = 1),
+n{d + 1} AS MATERIALIZED (SELECT n.id, n.y, n.is_test, CASE WHEN s.node IS NULL THEN n.node WHEN bl.x <= s.cut THEN 2 * n.node + 1 ELSE 2 * n.node + 2 END AS node
+  FROM n{d} n LEFT JOIN s{d} s ON s.node = n.node LEFT JOIN bl ON bl.id = n.id AND bl.j = s.j)
+"""
+
+
+_EXACT = f"""{_LONG}{''.join(map(_exact_level, range(3)))}, leaf AS (SELECT node, count(*) FILTER (y = 1) AS p, count(*) FILTER (y <> 1) AS q FROM n3 WHERE NOT is_test GROUP BY node),
+p AS (SELECT {', '.join(KEYS)}, zr.y, CASE WHEN leaf.p >= leaf.q THEN 1 ELSE -1 END AS pred FROM n3 n JOIN zr USING (id) JOIN leaf USING (node) WHERE zr.is_test)
+"""
+
+
+@query(_EXACT + f"SELECT {', '.join(KEYS)}, y, pred FROM p")
+def exact_tree_predict(spark, sf_dir):
+    train, test = _prepared(spark, sf_dir)
+    return exact_tree.fit(train, FEATURES, tree.Params(max_depth=3)).transform(test).select(*KEYS, "y", "pred")
+
+
+@query(_LONG + "".join(map(_exact_level, range(3))) + " UNION ALL ".join(f"SELECT {d} AS depth, CAST(j AS BIGINT) AS feature, round(cut, 6) AS threshold, round(gain, 9) AS gain FROM s{d}" for d in range(3)))
+def exact_tree_cuts(spark, sf_dir):
+    train, _ = _prepared(spark, sf_dir)
+    nodes = exact_tree.fit(train, FEATURES, tree.Params(max_depth=3)).nodes
+    return spark.createDataFrame([(n.depth, n.feature, round(n.threshold, 6), round(n.gain, 9)) for n in nodes if n.feature >= 0], "depth int, feature long, threshold double, gain double")
+
+
+def _boosted_level(d: int) -> str:
+    return f""", h{d} AS (SELECT node, j, bin, sum(CASE WHEN bl.y = 1 THEN -0.5::DOUBLE ELSE 0.5::DOUBLE END) AS g, count(*) * 0.25::DOUBLE AS h FROM bl JOIN n{d} n USING (id) WHERE NOT bl.is_test GROUP BY ALL),
+a{d} AS (SELECT node, j, bin, sum(g) OVER w AS lg, sum(h) OVER w AS lh, sum(g) OVER v AS g, sum(h) OVER v AS h FROM h{d} WINDOW w AS (PARTITION BY node, j ORDER BY bin), v AS (PARTITION BY node, j)),
+g{d} AS (SELECT node, j, bin, lg * lg / lh + (g - lg) * (g - lg) / (h - lh) - g * g / h AS gain FROM a{d} WHERE lh >= 1 AND h - lh >= 1),
+s{d} AS MATERIALIZED (SELECT * FROM g{d} WHERE gain >= 1e-6 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, j, bin) = 1),
+n{d + 1} AS MATERIALIZED (SELECT n.id, n.y, n.is_test, CASE WHEN s.node IS NULL THEN n.node WHEN bl.bin <= s.bin THEN 2 * n.node + 1 ELSE 2 * n.node + 2 END AS node
+  FROM n{d} n LEFT JOIN s{d} s ON s.node = n.node LEFT JOIN bl ON bl.id = n.id AND bl.j = s.j)
+"""
+
+
+@query(f"""{_BINNED}{''.join(map(_boosted_level, range(3)))}, leaf AS (SELECT node, -sum(CASE WHEN y = 1 THEN -0.5::DOUBLE ELSE 0.5::DOUBLE END) / (count(*) * 0.25::DOUBLE) AS w FROM n3 WHERE NOT is_test GROUP BY node)
+SELECT {', '.join(KEYS)}, zr.y, round(w, 9) AS margin, CASE WHEN w > 0 THEN 1 ELSE -1 END AS pred FROM n3 n JOIN zr USING (id) JOIN leaf USING (node) WHERE zr.is_test""")
+def boosted_predict(spark, sf_dir):
+    train, test = _prepared(spark, sf_dir)
+    return boosted.fit(train, FEATURES, boosted.Params(max_depth=3)).transform(test).select(*KEYS, "y", F.round("margin", 9).alias("margin"), "pred")
+
+
 # --- perceptron: small layers with fixed weights, so that SQL can follow --------------------------------------------------------
 
 _HIDDEN = (4, 3)
@@ -164,8 +221,8 @@ def _start_sql() -> str:
     return "w0 AS (SELECT " + ", ".join(f"{float(w[n][at])}::DOUBLE AS {name}, 0::DOUBLE AS v_{name}" for name, n, at in _names()) + ")"
 
 
-def _step_sql(e: int) -> str:
-    """w(e + 1) from w(e) by the gradient of all training rows."""
+def _step_sql(e: int, source: str = "tr", epoch: int | None = None) -> str:
+    """w(e + 1) from w(e) by the gradient of all rows of a table."""
     up = {f"w3_0_{j}": f"dz * k{j}" for j in range(_HIDDEN[1])} | {"b3_0": "dz"}
     for i in range(_HIDDEN[1]):
         up |= {f"w2_{i}_{j}": f"e{i} * h{j}" for j in range(_HIDDEN[0])} | {f"b2_{i}": f"e{i}"}
@@ -173,9 +230,9 @@ def _step_sql(e: int) -> str:
         up |= {f"w1_{i}_{j}": f"d{i} * CAST({f} AS DOUBLE)" for j, f in enumerate(FEATURES)} | {f"b1_{i}": f"d{i}"}
     second = ", ".join(f"CASE WHEN k{i} > 0 THEN dz * w3_0_{i} ELSE 0 END AS e{i}" for i in range(_HIDDEN[1]))
     first = ", ".join(f"CASE WHEN h{i} > 0 THEN " + " + ".join(f"e{j} * w2_{j}_{i}" for j in range(_HIDDEN[1])) + f" ELSE 0 END AS d{i}" for i in range(_HIDDEN[0]))
-    rows = f"(SELECT *, {first} FROM (SELECT *, {second} FROM (SELECT *, 1 / (1 + exp(-z)) - CASE WHEN y = 1 THEN 1 ELSE 0 END AS dz FROM {_forward_sql('tr', f'w{e}')})))"
+    rows = f"(SELECT *, {first} FROM (SELECT *, {second} FROM (SELECT *, 1 / (1 + exp(-z)) - CASE WHEN y = 1 THEN 1 ELSE 0 END AS dz FROM {_forward_sql(source, f'w{e}')})))"
     speeds = ", ".join(f"{_STEP.momentum}::DOUBLE * any_value(v_{n}) + sum({g}) / count(*) AS v_{n}, any_value({n}) AS o_{n}" for n, g in up.items())
-    rate = scalar.decayed(_STEP.lr, e)
+    rate = scalar.decayed(_STEP.lr, e if epoch is None else epoch)
     after = ", ".join(f"v_{n}, {1 - rate * _STEP.decay if n[0] == 'w' else 1.0!r}::DOUBLE * o_{n} - {rate!r}::DOUBLE * v_{n} AS {n}" for n in up)
     return f", w{e + 1} AS MATERIALIZED (SELECT {after} FROM (SELECT {speeds} FROM {rows}))"
 
@@ -210,13 +267,51 @@ def mlp_minibatches(spark, sf_dir):
     return ordering.minibatches(t, _ORDER_KEYS, epoch=3, ties=KEYS)
 
 
+_WORKERS = 2
+_BATCHED = f"""{_Z}, {_start_sql()}, r AS (SELECT *, row_number() OVER (ORDER BY {_MD5.format(epoch=0)}, {', '.join(KEYS)}) AS rn, {_WORKERS} * (count(*) OVER () // {2 * _WORKERS}) AS size FROM z WHERE NOT is_test),
+s0 AS (SELECT * FROM r WHERE rn <= size), s1 AS (SELECT * FROM r WHERE rn > size AND rn <= 2 * size){_step_sql(0, 's0', 0)}{_step_sql(1, 's1', 0)} """
+
+
+@query(_BATCHED + " UNION ALL ".join(f"SELECT '{n}' AS weight, round({n}, 6) AS value FROM w2" for n, _, _ in _names()))
+def mlp_minibatch_steps(spark, sf_dir):
+    """An epoch of two steps that two workers share, each with a quarter of the rows."""
+    train, _ = _prepared(spark, sf_dir)
+    params = mlp.Params(epochs=1, lr=_STEP.lr, hidden=_HIDDEN, batch=train.count() // (2 * _WORKERS), workers=_WORKERS)
+    w = mlp.fit(train, FEATURES, _ORDER_KEYS, params, _fixed(), ties=KEYS).weights
+    return spark.createDataFrame([(name, round(float(w[n][at]), 6)) for name, n, at in _names()], "weight string, value double")
+
+
 @query(None)
 def mlp_metrics(spark, sf_dir):
     """Minibatches on all rows of the embeddings task, whose vectors become columns."""
-    t = embedding_task(spark, sf_dir)
-    features = [f"f{i}" for i in range(64)]
-    wide = t.select("id", "y", "is_test", *(F.get("features", i).alias(f) for i, f in enumerate(features)))
-    return evaluate.metrics(mlp.fit(wide.where("not is_test"), features, ["id"], mlp.Params(epochs=2)).transform(wide.where("is_test")))
+    wide = _wide(spark, sf_dir)
+    return evaluate.metrics(mlp.fit(wide.where("not is_test"), _COMPONENTS, ["id"], mlp.Params(epochs=2)).transform(wide.where("is_test")))
+
+
+# --- hinge loss, a step a row ---------------------------------------------------------------------------------------------------
+
+_COMPONENTS = [f"f{i}" for i in range(64)]
+
+
+def _wide(spark, sf_dir) -> DataFrame:
+    """The embeddings task with a column for each component."""
+    return embedding_task(spark, sf_dir).select("id", "y", "is_test", *(F.get("features", i).alias(f) for i, f in enumerate(_COMPONENTS)))
+
+
+_SGD = hinge_sgd.Params(epochs=1)
+_SGD_SQL = f"""WITH RECURSIVE e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, CASE WHEN label < 5 THEN 1 ELSE -1 END AS y FROM embeddings),
+r AS MATERIALIZED (SELECT v, y, row_number() OVER (ORDER BY md5(concat_ws('|', '{_SGD.seed}', '0', CAST(id AS VARCHAR))), id) AS i FROM e WHERE id % 5 <> 0),
+m AS (SELECT 0::BIGINT AS i, list_transform(range(64), lambda x: 0::DOUBLE) AS w, 0::DOUBLE AS b
+  UNION ALL SELECT r.i, list_transform(list_zip(m.w, r.v), lambda z: {1 - _SGD.lr * _SGD.decay!r}::DOUBLE * z[1] + CASE WHEN r.y * (list_dot_product(m.w, r.v) + m.b) < 1 THEN {_SGD.lr}::DOUBLE * r.y * z[2] ELSE 0 END),
+    m.b + CASE WHEN r.y * (list_dot_product(m.w, r.v) + m.b) < 1 THEN {_SGD.lr}::DOUBLE * r.y ELSE 0 END FROM m JOIN r ON r.i = m.i + 1)
+SELECT id, y, CASE WHEN list_dot_product(w, v) + b >= 0 THEN 1 ELSE -1 END AS pred FROM e, (SELECT w, b FROM m ORDER BY i DESC LIMIT 1) WHERE id % 5 = 0"""
+
+
+@query(_SGD_SQL)
+def hinge_sgd_predict(spark, sf_dir):
+    """One pass over all training vectors, a step a row."""
+    wide = _wide(spark, sf_dir)
+    return hinge_sgd.fit(wide.where("not is_test"), _COMPONENTS, ["id"], _SGD).transform(wide.where("is_test")).select("id", "y", "pred")
 
 
 # --- orders, encodings, summaries -------------------------------------------------------------------------------------------------

@@ -1,7 +1,8 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share; they go when the driver ends."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -9,6 +10,30 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths that this session has made.
+_made: list[str] = []
+
+
+def open_fs(uri: str):
+    """(pyarrow file system, path) of a URI or a plain local path; usable on executors."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[len("file:") :].lstrip("/")
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+
+
+def _remove_made(pid: int) -> None:
+    if os.getpid() != pid:  # a worker that was forked
+        return
+    for path in _made:
+        try:
+            fs, place = open_fs(path)
+            fs.delete_dir(place)
+        except Exception:  # noqa: BLE001  (what is gone, or can't be reached any more, stays as it is)
+            pass
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir; only a local session may leave that unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -16,7 +41,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_remove_made, os.getpid())
+    _made.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
