@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.functions import scalar
 from orrery.operators import benchmark
 
 #: Where a file may lie, in the order in which the places are tried.
@@ -40,20 +39,27 @@ def schema_of(spark: SparkSession, path: str, label: str) -> T.StructType:
     return T.StructType([*(T.StructField(n, T.FloatType()) for n in names if n != label), T.StructField(label, T.IntegerType())])
 
 
-def read_matrix(spark: SparkSession, path: str, label: str, *, default: float = 0.0) -> DataFrame:
-    """Typed rows of a plain CSV file (no quoting): float features and an int label.
+def read_matrix(spark: SparkSession, path: str, label: str, *, default: float | None = None) -> DataFrame:
+    """Typed rows of a CSV file: float features and an int label.
 
-    Blank lines are skipped; a line with another number of fields than the header raises; a field that is no number is the
-    default.
+    The first line of each file is its header, whatever it holds, quoted or behind a byte order mark; blank lines are skipped.
+    A line with another number of fields than the header raises, and so does a field that is no number, unless a default
+    stands in for it.
     """
     names, schema = header(spark, path), schema_of(spark, path, label)
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.regexp_replace("value", "\r$", "").alias("value"))
-    body = lines.where((F.trim("value") != "") & (F.col("value") != ",".join(names))).select(scalar.fields(F.col("value")).alias("f"), "value")
-    wrong = F.raise_error(F.concat(F.lit(f"expected {len(names)} fields: "), F.col("value")))
-    body = body.select(F.when(F.size("f") == len(names), F.col("f")).otherwise(wrong).alias("f"))
-    at = {n: i for i, n in enumerate(names)}
-    number = lambda n: scalar.lenient_number(F.col("f")[at[n]], default)
-    return body.select(*(number(f.name).cast(f.dataType).alias(f.name) for f in schema.fields))
+    raw = T.StructType([*(T.StructField(f"f{i}", T.StringType()) for i in range(len(names))), T.StructField("_line", T.StringType())])
+    # without pruning every field of a line is looked at, so its width is checked whatever is selected
+    lines = spark.read.schema(raw).option("header", True).option("enforceSchema", True).option("columnPruning", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line").csv(path)
+    lines = lines.withColumn("_file", F.col("_metadata.file_path"))
+    told = lambda what, column: F.raise_error(F.concat(F.lit(f"{what}: "), F.coalesce(column, F.lit("")), F.lit(" in "), F.col("_file")))
+
+    def number(name: str, kind: T.DataType) -> F.Column:
+        field = F.col(f"f{names.index(name)}")
+        value = F.trim(field).try_cast("double")
+        value = F.coalesce(value, told(f"no number in column {name}", field) if default is None else F.lit(float(default)))
+        return F.when(F.col("_line").isNotNull(), told(f"expected {len(names)} fields", F.col("_line"))).otherwise(value).cast(kind).alias(name)
+
+    return lines.select(*(number(f.name, f.dataType) for f in schema.fields))
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

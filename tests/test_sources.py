@@ -16,16 +16,29 @@ def put(path, text):
 
 def test_matrix_scan_is_typed_skips_blank_lines_and_checks_its_width(spark, tmp_path):
     path = put(tmp_path / "a.csv", "a,round_winner,b\n1, -1 ,2.5\n\n   \nx,1,\n3,1,4\r\n")
-    df = tables.read_matrix(spark, path, "round_winner")
+    df = tables.read_matrix(spark, path, "round_winner", default=0)
     assert df.dtypes == [("a", "float"), ("b", "float"), ("round_winner", "int")]
     assert sorted(map(tuple, df.collect())) == [(0.0, 0.0, 1), (1.0, 2.5, -1), (3.0, 4.0, 1)]
-    with pytest.raises(Exception, match="expected 3 fields"):
-        tables.read_matrix(spark, put(tmp_path / "b.csv", "a,round_winner,b\n1,2\n"), "round_winner").select("a").collect()
+    with pytest.raises(Exception, match="no number in column"):
+        tables.read_matrix(spark, path, "round_winner").collect()
+    for i, body in enumerate(("1,2\n", "1,2,3,4\n")):
+        with pytest.raises(Exception, match="expected 3 fields"):
+            tables.read_matrix(spark, put(tmp_path / f"b{i}.csv", f"a,round_winner,b\n{body}"), "round_winner").select("a").collect()
     with pytest.raises(ValueError):
         tables.read_matrix(spark, path, "no_such")
     assert tables.read_matrix(spark, put(tmp_path / "c.csv", "a,y\n"), "y").count() == 0
 
 
+@pytest.mark.parametrize("start, end", [('"a","y"', "\n"), ("\ufeffa,y", "\n"), ("a,y", "\r\n"), ('\ufeff"a","y"', "\r\n")])
+def test_header_is_dropped_by_its_place(spark, tmp_path, start, end):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for i in range(2):
+        (folder / f"{i}.csv").write_bytes(end.join([start, f"{i}.5,1", "2,-1", ""]).encode())
+    df = tables.read_matrix(spark, str(folder), "y")
+    assert sorted(map(tuple, df.collect())) == [(0.5, 1), (1.5, 1), (2.0, -1), (2.0, -1)]
+
+
 def test_paths_are_looked_for_in_order(tmp_path, monkeypatch):
     (tmp_path / "data").mkdir()
     (tmp_path / "sub").mkdir()
@@ -89,6 +102,24 @@ def test_logs_by_both_readers(spark, tmp_path):
     assert logs.parse_strict(lines.where("false")).count() == 0
 
 
+def test_logs_in_splits_and_segments_equal_the_whole_file(spark, tmp_path, monkeypatch):
+    path = put(tmp_path / "long.log", LOG * 300)
+    both = lambda: [sorted(map(tuple, p(logs.read_lines(spark, path)).collect())) for p in (logs.parse_strict, logs.parse_loose)]
+    want = both()
+    assert len(want[0]) == len(want[1]) == 900
+    monkeypatch.setattr(logs, "SEGMENT", 7)
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "4096")
+    try:
+        assert spark.read.text(path).rdd.getNumPartitions() > 8
+        assert both() == want
+        lines = {r["line"]: r["text"] for r in logs.read_lines(spark, path).collect()}
+    finally:
+        spark.conf.set(key, old)
+    assert [lines[i] for i in range(len(lines))] == (LOG * 300).splitlines()
+
+
 def test_output_of_a_command_is_a_source(spark):
     found = logs.command_lines(spark, ["sh", "-c", "echo '[Serial NB]'; echo '  Accuracy : 0.5' ; echo oops >&2"])
     assert found.count() == 3 and logs.parse_strict(found).first()["algorithm"] == "nb"
