@@ -13,7 +13,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery import harness
+from orrery import harness, storage
 from orrery.operators import benchmark, evaluate, knn, mlp, naive_bayes, prep, svm, tree
 from orrery.sources import logs, tables
 
@@ -43,9 +43,12 @@ def params_of(algorithm: str, values: list[str]):
     return naive_bayes.Params()
 
 
-def session() -> SparkSession:
+def session(algorithm: str = "") -> SparkSession:
+    """A session whose workers keep to the algorithm's threads."""
     n = harness.threads_of()
-    return SparkSession.builder.appName("orrery").config("spark.sql.shuffle.partitions", str(4 * n)).config("spark.ui.enabled", "false").master(os.environ.get("SPARK_MASTER", f"local[{n}]")).getOrCreate()
+    budget = harness.thread_budget(algorithm, n)
+    os.environ.update(budget)  # for local workers
+    return SparkSession.builder.config(map={f"spark.executorEnv.{k}": v for k, v in budget.items()}).appName("orrery").config("spark.sql.shuffle.partitions", str(4 * n)).config("spark.ui.enabled", "false").master(os.environ.get("SPARK_MASTER", f"local[{n}]")).getOrCreate()
 
 
 def load(spark: SparkSession, train: str, test: str) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -66,21 +69,11 @@ def fitted(algorithm: str, train: DataFrame, features: list[str], params):
         return tree.fit(train, features, params)
     if algorithm == "nb":
         return naive_bayes.fit_model(train, features, params, NAMED)
-    return knn.fit_model(train.withColumn("features", F.array(*(F.col(f).cast("double") for f in features))), params)
+    return harness.WideNeighbours(train, features, params)
 
 
 def job(algorithm: str, features: list[str], params) -> harness.Job:
-    def fit(train):
-        model = fitted(algorithm, train, features, params)
-        if algorithm != "knn":
-            return model
-        class Wide:
-            def transform(self, rows):
-                return model.transform(rows.withColumn("features", F.array(*(F.col(f).cast("double") for f in features))))
-
-        return Wide()
-
-    return harness.Job(algorithm, "ours", "hybrid" if algorithm == "nb" else "spark", fit)
+    return harness.Job(algorithm, "ours", "hybrid" if algorithm == "nb" else "spark", lambda t: fitted(algorithm, t, features, params))
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -102,7 +95,7 @@ def main(argv: list[str] | None = None) -> None:
     sub.add_argument("--append", default="results.csv")
     sub.add_argument("--json", default="results.json")
     args = parser.parse_args(argv)
-    spark = session()
+    spark = session(args.kind)
     if args.kind == "ingest":
         found = [p for p in map(tables.resolved, args.logs) if "://" in p or os.path.exists(p)]
         rows = [r for p in found for r in logs.parse_loose(logs.read_lines(spark, p)).drop("file", "block").collect()]
@@ -114,17 +107,16 @@ def main(argv: list[str] | None = None) -> None:
     train, test, features = load(spark, args.train, args.test)
     threads = harness.threads_of()
     if args.kind == "compare":
-        rows = harness.run(harness.library_jobs(features), train, test, threads)
+        rows = harness.run(harness.library_jobs(features, ["id"], NAMED), train, test, threads)
         tables.append_rows(benchmark.checked(harness.rows_frame(spark, rows)), args.out_csv)
         tables.extend_json(rows, args.out_json)
     elif args.kind == "analytics":
-        rows = harness.run([job(a, features, params_of(a, [])) for a in benchmark.ALGORITHMS], train, test, threads)
-        frame = harness.rows_frame(spark, rows)
-        own = frame.select("algorithm", "variant", "n_threads", "train_ms", "infer_ms", (F.col("train_ms") + F.col("infer_ms")).alias("total_ms"), F.col("acc").alias("accuracy"), F.col("prec").alias("precision"), F.col("rec").alias("recall"), "f1")
-        tables.write_benchmark(own, args.out)
-        own.show(truncate=False)
+        rows = storage.written(harness.protocol([job(a, features, params_of(a, [])) for a in benchmark.ALGORITHMS], train, test, threads), "rows")
+        tables.write_benchmark(rows.drop("seq"), args.out)
+        for report in (rows.drop("seq"), benchmark.speedups(rows, "seq"), benchmark.parity(rows, "seq")):
+            report.show(truncate=False)
     else:
-        model, train_ms = harness.timed(lambda: fitted(args.kind, train, features, params_of(args.kind, args.values)) if args.kind != "knn" else job("knn", features, params_of("knn", args.values)).fit(train))
+        model, train_ms = harness.timed(lambda: fitted(args.kind, train, features, params_of(args.kind, args.values)))
         row, infer_ms = harness.timed(lambda: evaluate.metrics(model.transform(test)).first())
         one = spark.createDataFrame([(args.kind, "serial", threads, train_ms, infer_ms, train_ms + infer_ms, row["accuracy"], row["prec"], row["recall"], row["f1"])], benchmark.BENCHMARK)
         print(benchmark.result_block(one).first()["block"])

@@ -14,7 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.operators import benchmark, encode, evaluate, knn, mlp, naive_bayes, svm, tree  # noqa: F401  (encode: for callers)
+from orrery import storage
+from orrery.operators import benchmark, boosted, evaluate, exact_tree, hinge_sgd, knn, mlp, naive_bayes, svm, tree
 from orrery.operators.prep import Named, never
 
 
@@ -61,47 +62,58 @@ def rows_frame(spark: SparkSession, rows: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(r[c] for c in columns) for r in rows], benchmark.HARNESS)
 
 
+class WideNeighbours:
+    """k-NN on rows whose features are columns."""
+
+    def __init__(self, train: DataFrame, features: list[str], params: knn.Params = knn.Params()):
+        self.features = features
+        self.model = knn.fit_model(self._packed(train), params, key="_id", vector="_features")
+
+    def _packed(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumns({"_id": F.monotonically_increasing_id(), "_features": F.array(*(F.col(f).cast("double") for f in self.features))})
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        # written, since the numbers of the rows have to be the same on both sides of the vote's join
+        return self.model.transform(storage.written(self._packed(rows), "asked")).drop("_id", "_features")
+
+
 def own_jobs(features: list[str], keys: list[str], named: Named = never) -> list[Job]:
-    """The engine's estimators on wide rows (features, y), k-NN on the same features as a vector."""
+    """The engine's estimators on wide rows (features, y)."""
     return [
         Job("svm", "ours", "spark", lambda t: svm.fit_model(t, features)),
+        Job("knn", "ours", "spark", lambda t: WideNeighbours(t, features)),
         Job("mlp", "ours", "spark", lambda t: mlp.fit_full(t, features), "a step an epoch on all rows"),
         Job("dt", "ours", "spark", lambda t: tree.fit(t, features)),
         Job("nb", "ours", "hybrid", lambda t: naive_bayes.fit_model(t, features, named=named)),
     ]
 
 
-class _Library:
-    """A pyspark.ml model over assembled features with labels 0 and 1."""
-
-    def __init__(self, estimator, train: DataFrame, features: list[str]):
-        from pyspark.ml.feature import VectorAssembler
-
-        self.assemble = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip")
-        self.model = estimator.setFeaturesCol("_features").setLabelCol("_label").fit(self._rows(train))
-
-    def _rows(self, rows: DataFrame) -> DataFrame:
-        return self.assemble.transform(rows).withColumn("_label", F.when(F.col("y") == 1, 1.0).otherwise(0.0))
-
-    def transform(self, rows: DataFrame) -> DataFrame:
-        return self.model.transform(self._rows(rows)).withColumn("pred", F.when(F.col("prediction") == 1, 1).otherwise(-1))
-
-
-def library_jobs(features: list[str], *, epochs: int = 20, seed: int = 42) -> list[Job]:
-    """Spark's own estimators nearest to the models, as baselines; none of them is the same model."""
-    from pyspark.ml import classification as c
-
-    of = lambda e: lambda t: _Library(e, t, features)
+def library_jobs(features: list[str], keys: list[str], named: Named = never, *, epochs: int = 20) -> list[Job]:
+    """The other models for the same tasks, as baselines: steps a row, k-NN, minibatches, exact and boosted trees, mixed naive
+    Bayes and its two ablations. keys identify a row."""
+    bayes = lambda mode: lambda t: naive_bayes.fit_model(t, features, naive_bayes.Params(mode))
     return [
-        Job("svm", "spark.ml", "default", of(c.LinearSVC(maxIter=epochs, regParam=1e-4)), "quasi-Newton hinge loss"),
-        Job("mlp", "spark.ml", "default", of(c.MultilayerPerceptronClassifier(layers=[len(features), 64, 32, 2], maxIter=epochs, seed=seed)), "sigmoid layers, quasi-Newton"),
-        Job("dt", "spark.ml", "default", of(c.DecisionTreeClassifier(maxDepth=12, minInstancesPerNode=5, maxBins=64, seed=seed)), "sampled split candidates"),
-        Job("dt", "spark.ml", "boosted", of(c.GBTClassifier(maxIter=1, maxDepth=12, maxBins=64, seed=seed)), "one boosted tree"),
-        Job("nb", "ours", "gaussian", lambda t: naive_bayes.fit_model(t, features, naive_bayes.Params("gaussian")), "ablation"),
-        Job("nb", "ours", "bernoulli", lambda t: naive_bayes.fit_model(t, features, naive_bayes.Params("bernoulli")), "ablation"),
+        Job("svm", "ours", "sgd", lambda t: hinge_sgd.fit(t, features, keys, hinge_sgd.Params(epochs=epochs)), "a step a row"),
+        Job("knn", "ours", "spark", lambda t: WideNeighbours(t, features), "k = 11, uniform votes"),
+        Job("mlp", "ours", "minibatch", lambda t: mlp.fit(t, features, keys, mlp.Params(epochs=epochs)), "batches of 128 rows, momentum"),
+        Job("dt", "ours", "exact", lambda t: exact_tree.fit(t, features), "all distinct cuts"),
+        Job("dt", "ours", "boosted", lambda t: boosted.fit(t, features), "one boosted histogram tree"),
+        Job("nb", "ours", "hybrid", lambda t: naive_bayes.fit_model(t, features, named=named)),
+        Job("nb", "ours", "gaussian", bayes("gaussian"), "ablation"),
+        Job("nb", "ours", "bernoulli", bayes("bernoulli"), "ablation"),
     ]
 
 
+def protocol(jobs: Iterable[Job], train: DataFrame, test: DataFrame, threads: int) -> DataFrame:
+    """seq and benchmark rows of every job in a serial run (one partition) and in one of ``threads`` partitions, named omp."""
+    rows = []
+    for variant, parts in (("serial", 1), ("omp", threads)):
+        dealt = [storage.written(df.repartition(parts), variant).repartition(parts) for df in (train, test)]
+        rows += [{**r, "variant": variant} for r in run(jobs, *dealt, parts)]
+    told = [(i, r["algorithm"], r["variant"], r["n_threads"], r["train_ms"], r["infer_ms"], round(r["train_ms"] + r["infer_ms"], 2), r["acc"], r["prec"], r["rec"], r["f1"]) for i, r in enumerate(rows)]
+    return train.sparkSession.createDataFrame(told, f"seq long, {benchmark.BENCHMARK}")
+
+
 def thread_budget(algorithm: str, threads: int) -> dict[str, str]:
     """Environment of the workers: numpy keeps to one thread where tasks run side by side (k-NN); the sequential perceptron
     may use all; others keep what they have."""

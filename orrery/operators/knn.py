@@ -1,7 +1,9 @@
-"""Exact k nearest neighbours: blocks of queries against blocks of training rows, then a merge of the blocks' best.
+"""Exact k nearest neighbours: blocks of queries against shells of training rows around pivots, then a merge of the tasks' best.
 
-Every task holds one block of training rows at a time and reads the queries block by block from the shared folder, so neither
-side has to fit into memory. Distances come from ||q||^2 + ||t||^2 - 2 q.t by a matrix product; the candidates that it leaves
+Training rows belong to the nearest of PIVOTS rows and are dealt in the order of their distance from it, so a shell holds rows of
+one pivot at about one distance. By the triangle inequality a shell is skipped for the queries whose k-th distance so far (at
+first, to the k-th pivot) is below its bound; near shells come first. Every task holds up to about HELD rows at a time and reads
+the queries block by block from the shared folder, so neither side has to fit into memory. Distances come from ||q||^2 + ||t||^2 - 2 q.t by a matrix product; the candidates that it leaves
 are measured again by sums of squared differences, so equal rows have equal distances; ties go to the smaller id.
 
 Rows with a null or non-finite component, or of another length than the most frequent one, are no neighbours; such queries
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from orrery import storage
 
-CHUNK, QUERIES = 8192, 256
+CHUNK, QUERIES, PIVOTS, HELD = 1024, 256, 256, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -59,38 +61,115 @@ def _usable(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn(vector, v).where((F.size(vector) > 0) & ~F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))))
 
 
+def pivots_of(known: DataFrame, key: str, vector: str) -> np.ndarray:
+    """PIVOTS training vectors, those of the smallest hashes of their keys."""
+    return np.array([r[0] for r in known.orderBy(F.xxhash64(key), key).limit(PIVOTS).select(vector).collect()], np.float64)
+
+
+@dataclass
+class Shell:
+    """Rows of one pivot whose distances from it lie between near and far."""
+
+    pivot: int
+    near: float
+    far: float
+    ids: np.ndarray
+    x: np.ndarray
+    y: np.ndarray
+
+
+class Best:
+    """The k nearest rows so far of a block of queries; ``compared`` counts the distances that were measured."""
+
+    def __init__(self, q: np.ndarray, k: int, pivots: np.ndarray):
+        self.q, self.k, self.compared = q, k, 0
+        self.d, self.ids, self.y = np.full((len(q), k), np.inf), np.full((len(q), k), np.iinfo(np.int64).max), np.zeros((len(q), k), np.int32)
+        square = squared_norms(q)[:, None] + squared_norms(pivots)[None, :] - 2 * (q @ pivots.T)
+        self.slack = 1e-7 * (1 + np.sqrt(square.max(initial=0)))
+        self.to_pivots = np.sqrt(np.maximum(square, 0))
+        # pivots are rows, so the k-th nearest of them is no nearer than the k-th nearest row
+        self.most = np.partition(self.to_pivots, k - 1, axis=1)[:, k - 1] if len(pivots) >= k else np.full(len(q), np.inf)
+
+    def bounds(self, shell: Shell) -> np.ndarray:
+        """Below every distance of a query to the shell's rows, by the triangle inequality."""
+        to = self.to_pivots[:, shell.pivot]
+        return np.maximum(np.maximum(to - shell.far, shell.near - to), 0) - self.slack
+
+    def visit(self, shells: list[Shell]) -> None:
+        """Nearest shells first; a shell is skipped for the queries whose k-th distance is below its bound."""
+        bounds = [self.bounds(s) for s in shells]
+        for i in sorted(range(len(shells)), key=lambda i: bounds[i].mean()):
+            kth = np.minimum(np.sqrt(self.d[:, -1]), self.most + self.slack)
+            who = np.flatnonzero(bounds[i] <= kth)
+            if len(who):
+                self._add(shells[i], who)
+
+    def _add(self, shell: Shell, who: np.ndarray) -> None:
+        self.compared += len(who) * len(shell.ids)
+        r, at, d = nearest(self.q[who], shell.x, shell.ids, self.k)
+        wide = min(self.k, len(shell.ids))
+        r = r.reshape(-1, wide)
+        every = [np.concatenate([old[who], new.reshape(r.shape)], axis=1) for old, new in ((self.d, d), (self.ids, shell.ids[at]), (self.y, shell.y[at]))]
+        first = np.lexsort((every[1], every[0]), axis=1)[:, : self.k]
+        self.d[who], self.ids[who], self.y[who] = (np.take_along_axis(e, first, 1) for e in every)
+
+
 def neighbours(train: DataFrame, queries: DataFrame, k: int = 11, *, key: str = "id", vector: str = "features", label: str = "y") -> DataFrame:
     """query, rank (from 1), neighbour, distance (squared), y of the min(k, rows) nearest training rows of every query."""
+    k = max(k, 1)
     known = _usable(train.select(key, vector, label).where(F.col(key).isNotNull() & F.col(label).isNotNull()), vector)
     sizes = known.groupBy(F.size(vector).alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     width = int(sizes[0]) if sizes else 0
+    known = known.where(F.size(vector) == width)
     path = storage.shared_path(train.sparkSession, "queries")
     _usable(queries.select(key, vector).where(F.col(key).isNotNull()), vector).where(F.size(vector) == width).write.parquet(path)
     told = train.sparkSession.read.parquet(path).inputFiles()
+    pivots = pivots_of(known, key, vector).reshape(-1, width)
+
+    def rows_of(batch) -> np.ndarray:
+        return np.asarray(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, width)
+
+    def deal(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = rows_of(batch)
+                square = squared_norms(x)[:, None] + squared_norms(pivots)[None, :] - 2 * (x @ pivots.T)
+                near = square.argmin(axis=1)
+                far = np.sqrt(((x - pivots[near]) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), batch.column(2).cast(pa.int32()), pa.array(near), pa.array(far)], names=["id", "v", "y", "pivot", "far"])
 
     def search(batches):
         import pyarrow.dataset as ds
-        from pyarrow import fs
 
-        def against(ids, x, y):
+        def against(held):
             for name in told:
-                system, place = (fs.LocalFileSystem(), "/" + name[5:].lstrip("/")) if name.startswith("file:") else fs.FileSystem.from_uri(name)
-                source = ds.dataset(place, filesystem=system)
-                for block in source.to_batches(batch_size=QUERIES):
+                system, place = storage.open_fs(name)
+                for block in ds.dataset(place, filesystem=system).to_batches(batch_size=QUERIES):
                     if block.num_rows:
-                        q = np.asarray(block.column(vector).flatten(), np.float64).reshape(block.num_rows, width)
-                        r, at, d = nearest(q, x, ids, k)
-                        yield pa.RecordBatch.from_arrays([block.column(key).take(pa.array(r)).cast(pa.int64()), pa.array(ids[at]), pa.array(d), pa.array(y[at])], names=["query", "neighbour", "distance", "y"])
+                        best = Best(np.asarray(block.column(vector).flatten(), np.float64).reshape(block.num_rows, width), k, pivots)
+                        best.visit(held)
+                        r, at = np.nonzero(best.d < np.inf)
+                        yield pa.RecordBatch.from_arrays([block.column(key).take(pa.array(r)).cast(pa.int64()), pa.array(best.ids[r, at]), pa.array(best.d[r, at]), pa.array(best.y[r, at])], names=["query", "neighbour", "distance", "y"])
 
+        held: list[Shell] = []
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(at, CHUNK)
-                x = np.asarray(part.column(1).flatten(), np.float64).reshape(part.num_rows, width)
-                yield from against(part.column(0).to_numpy().astype(np.int64), x, part.column(2).to_numpy().astype(np.int32))
-
-    best = known.where(F.size(vector) == width).select(key, vector, label).mapInArrow(search, "query long, neighbour long, distance double, y int")
+            pivot, x = batch.column(3).to_numpy(), rows_of(batch)
+            ids, y, far = batch.column(0).to_numpy(), batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            for run in np.split(np.arange(len(pivot)), np.flatnonzero(np.diff(pivot)) + 1) if len(pivot) else ():
+                for at in range(0, len(run), CHUNK):
+                    part = run[at : at + CHUNK]
+                    held.append(Shell(int(pivot[part[0]]), far[part].min(), far[part].max(), ids[part], x[part], y[part]))
+            if sum(len(s.ids) for s in held) >= HELD:
+                yield from against(held)
+                held = []
+        if held:
+            yield from against(held)
+
+    dealt = storage.written(known.select(key, vector, label).mapInArrow(deal, "id long, v array<double>, y int, pivot long, far double"), "shells")
+    # shells of a pivot: rows in the order of their distances from it
+    best = dealt.repartitionByRange("pivot", "far", "id").sortWithinPartitions("pivot", "far").mapInArrow(search, "query long, neighbour long, distance double, y int")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= max(k, 1)).select("query", "rank", "neighbour", "distance", "y")
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "rank", "neighbour", "distance", "y")
 
 
 def vote(found: DataFrame) -> DataFrame:

@@ -175,14 +175,17 @@ def test_a_failing_job_is_left_out(spark):
 
 
 def test_command_line(spark, tmp_path, monkeypatch, capsys):
-    monkeypatch.setattr(cli, "session", lambda: spark)
+    monkeypatch.setattr(cli, "session", lambda kind: spark)
     body = "\n".join(f"{i % 10},{i % 2},{1 if i % 10 > 4 else -1}" for i in range(60))
     train = test = put(tmp_path / "t.csv", f"a,map_x,round_winner\n{body}\n")
     for algorithm, values in (("svm", ["5", "bad"]), ("knn", ["3"]), ("dt", []), ("nb", []), ("mlp", ["1"])):
         cli.main([algorithm, train, test, *values])
         assert "Training time" in (said := capsys.readouterr().out) and f"[Serial {algorithm.upper()}]" in said
     cli.main(["analytics", train, test, f"{tmp_path}/out"])
-    assert spark.read.option("header", True).csv(f"{tmp_path}/out").count() == 5
+    said = capsys.readouterr().out
+    assert spark.read.option("header", True).csv(f"{tmp_path}/out").count() == 10 and "omp_speedup" in said and "alike" in said
+    cli.main(["compare", "--train", train, "--test", test, "--out-csv", f"{tmp_path}/cmp", "--out-json", f"{tmp_path}/cmp.json"])
+    assert {(r["algorithm"], r["variant"]) for r in json.loads((tmp_path / "cmp.json").read_text())} == {("svm", "sgd"), ("knn", "spark"), ("mlp", "minibatch"), ("dt", "exact"), ("dt", "boosted"), ("nb", "hybrid"), ("nb", "gaussian"), ("nb", "bernoulli")}
     log = put(tmp_path / "l.log", LOG)
     cli.main(["ingest", log, f"{tmp_path}/missing.log", "--append", f"{tmp_path}/res", "--json", f"{tmp_path}/res.json"])
     assert len(json.loads((tmp_path / "res.json").read_text())) == 3

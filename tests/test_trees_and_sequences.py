@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from orrery.operators import blocks, boosted, exact_tree, hinge_sgd, mlp, order_keys, ordering, sequences, tree
+from orrery.operators import blocks, boosted, exact_tree, hinge_sgd, knn, mlp, order_keys, ordering, sequences, tree
 
 
 def table(spark, n=1300, parts=3, seed=2):
@@ -161,3 +161,25 @@ def test_minibatches_equal_numpy_and_can_go_on(spark, workers, tmp_path):
 def test_less_than_a_step_trains_nothing(spark):
     _, df = table(spark, 100)
     assert mlp.fit(df, ["a"], ["id"], mlp.Params(batch=32, workers=4)).epoch_loss == []
+
+
+def test_shells_skip_rows_and_stay_exact():
+    draw = np.random.default_rng(8)
+    middle = draw.normal(size=(30, 5)) * 20
+    x = np.repeat(middle, 100, axis=0) + draw.normal(size=(3000, 5))
+    ids, y, pivots = draw.permutation(3000), draw.integers(0, 2, 3000).astype(np.int32), x[::100]
+    near = ((x[:, None] - pivots[None]) ** 2).sum(axis=2).argmin(axis=1)
+    shells = []
+    for p in range(30):
+        own = np.flatnonzero(near == p)
+        far = np.sqrt(((x[own] - pivots[p]) ** 2).sum(axis=1))
+        own, far = own[np.argsort(far)], np.sort(far)
+        shells += [knn.Shell(p, far[i : i + 40].min(), far[i : i + 40].max(), ids[own[i : i + 40]], x[own[i : i + 40]], y[own[i : i + 40]]) for i in range(0, len(own), 40)]
+    q = x[:60] + 0.1
+    best = knn.Best(q, 7, pivots)
+    best.visit(shells)
+    d = ((q[:, None] - x[None]) ** 2).sum(axis=2)
+    for r in range(60):
+        want = sorted(zip(d[r].tolist(), ids.tolist()))[:7]
+        assert [i for _, i in want] == best.ids[r].tolist() and np.allclose([v for v, _ in want], best.d[r])
+    assert best.compared < 0.25 * d.size
