@@ -1,10 +1,11 @@
 """Main text of web pages: flat text blocks, classified by a decision tree trained on a small labelled table.
 
-A page is cut into flat blocks at block-level tags. A block is described by its own words and link density, by those of the
-blocks before and after it, and by where it stands: inside an article, inside elements meant for page furniture (nav,
-footer and the like), inside an element whose class or id names furniture only, and whether it is a heading. The tree (Gini,
-exact splits) is trained on the blocks of the pages made of LAYOUTS, in which main text is marked by a leading "+"; no feature
-decides by itself, the tree weighs them.
+A page is cut into flat blocks at block-level tags. A block is described by its own words and link density and by those of the
+blocks before and after it; besides, by whether it is a heading, stands inside elements meant for page furniture (footer,
+aside and the like, but not menus, which their links tell), is named as furniture or hidden by an attribute of an element
+around it, or stands in an article and in no menu of it. The tree (Gini, exact splits) is trained on the blocks of the pages made
+of LAYOUTS, in which main text is marked by a leading "+"; gains of the four last features count for half (HINTS), so words and
+links are asked first. Text outside an article is judged as any other text.
 
 Cases: null and empty pages give an empty text; unclosed comments, raw texts (_RAW: scripts, styles and the like) and tags
 reach to the end of the page; any other unclosed element ends with its parent, svg and select also before a tag that can't
@@ -36,7 +37,7 @@ _TOKEN = re.compile(
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea iframe title".split())
-_FURNITURE = frozenset("nav footer aside form header menu button dialog head template select option optgroup svg".split())
+_FURNITURE = frozenset("footer aside form header button dialog head template select option optgroup svg".split())
 _MATH = frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd maction semantics annotation annotation-xml".split())
 _BREAKS = frozenset("article aside blockquote body center dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 header li main nav ol p pre section table ul".split())
 _MAIN = frozenset("article main".split())
@@ -45,6 +46,9 @@ _MENUS = frozenset("nav menu button".split())
 _UNQUOTED = re.compile(r"=\s*[^\s\"'>]+\Z")  # such a value ends with its "/"
 _ATTRS = re.compile(r"(?:^|[\s\"'])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
+_HIDDEN = re.compile(r"(?:^|[\s\"'])(?:hidden(?![\w:-])|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
+#: Words that make furniture of a name that they open or end.
+_STRONG = frozenset("ad ads advert adverts advertisement comment comments cookie cookies consent newsletter sidebar breadcrumb breadcrumbs navbar footer pagination disqus promo sponsor sponsored popup modal".split())
 #: Words of class names that stand for furniture, and words that may stand beside them.
 _NAMES = frozenset(
     "ad ads advert adverts advertisement banner promo sponsor sponsored comment comments reply replies respond sidebar side menu nav navbar navigation footer header breadcrumb breadcrumbs cookie cookies "
@@ -58,13 +62,16 @@ _ALONE = frozenset("p li dt dd td th tr option".split())
 
 
 def named(attributes: str) -> tuple[bool, bool]:
-    """Whether class, id or role names furniture, and whether it names content: every part of a name has to be a known word,
-    so "site-footer" is furniture, but "social-history" and "side-by-side" aren't."""
-    bad = good = False
+    """Whether class, id or role names furniture or an attribute hides the element, and whether a name names content: every part
+    of a name has to be a known word, unless a strong one opens or ends it, so "site-footer" and "user-comments" are furniture,
+    but "social-history" and "side-by-side" aren't."""
+    good = False
+    bad = bool(attributes) and bool(_HIDDEN.search(attributes))
     for found in _ATTRS.findall(attributes) if attributes else ():
         for name in "".join(found).split():
-            parts = {x.lower() for x in _PARTS.split(name) if x and not x.isdigit()}
-            bad = bad or bool(parts & _NAMES) and parts <= _NAMES | _BESIDE
+            row = [x.lower() for x in _PARTS.split(name) if x and not x.isdigit()]
+            parts = set(row)
+            bad = bad or bool(parts & _NAMES) and (parts <= _NAMES | _BESIDE or bool({row[0], row[-1]} & _STRONG))
             good = good or bool(parts & _GOOD) and parts <= _GOOD | _BESIDE
     return bad, good
 
@@ -78,9 +85,21 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool, bool, str]
     link: int | None = None  # depth of the element that an open link stands in
     linked = 0
     tag = ""
+    aside: list[str] = []  # text of an inline element named as furniture, which doesn't part the text around it
+    inline: list[str] = []  # the open inline elements from that one on
+
+    def put(s: str, inside: int) -> None:
+        joined = " ".join(html.unescape(s).split())
+        if joined:
+            words = joined.count(" ") + 1
+            out.append((joined, words, min(inside, words), stack[-1][1] if stack else False, True, stack[-1][3] if stack else False, tag))
 
     def flush():
         nonlocal linked
+        if inline:
+            inline.clear()
+            put("".join(aside), 0)
+            aside.clear()
         joined = " ".join(html.unescape("".join(text)).split())
         text.clear()
         if joined:
@@ -91,7 +110,9 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool, bool, str]
 
     def data(s: str):
         nonlocal linked
-        if s:
+        if s and inline:
+            aside.append(s)
+        elif s:
             text.append(s)
             if link is not None:
                 linked += len(s.split())
@@ -127,9 +148,17 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool, bool, str]
         bad, good = (False, False) if close else named(m[3])
         if name in _INLINE:
             if name == "br":
-                text.append(" ")
-            if not bad or name in ("span", "label", "a", "b", "i") or name in _VOID:
-                continue
+                (aside if inline else text).append(" ")
+            elif close and name in inline:
+                while inline.pop() != name:
+                    pass
+                if not inline:
+                    put("".join(aside), 0)
+                    aside.clear()
+                    text.append(" ")
+            elif not close and name not in _VOID and (inline or bad):
+                inline.append(name)
+            continue
         flush()
         if close:
             if opened[name]:
@@ -147,7 +176,7 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool, bool, str]
             up = stack[-1] if stack else ("", False, False, False)
             furniture = up[1] or name in _FURNITURE and not (name == "header" and up[3])
             hint = up[2] or bad and name not in ("body", "html", *_MAIN)
-            stack.append((name, furniture, hint, up[3] or good or name in _MAIN))
+            stack.append((name, furniture, hint, (up[3] or good or name in _MAIN) and name not in _MENUS))
             opened[name] += 1
             tag = name
     data(page[at:])
@@ -155,18 +184,20 @@ def blocks(page: str | None) -> list[tuple[str, int, int, bool, bool, bool, str]
     return out
 
 
+FEATURES = ["words", "link density", "words before", "link density before", "words behind", "link density behind", "heading", "furniture element", "named as furniture", "in an article"]
+#: Features whose gains count for half, by their places.
+HINTS = (6, 7, 8, 9)
+
+
 def features(found: list) -> np.ndarray:
-    """words, link density, both of the block before and after, article, any article on the page, heading, furniture tag,
-    furniture class."""
+    """The FEATURES of each block."""
     n = len(found)
     words = np.array([b[1] for b in found], float)
     density = np.array([b[2] for b in found], float) / np.maximum(words, 1)
     near = lambda x, d: np.concatenate([[0.0], x[:-1]]) if d < 0 else np.concatenate([x[1:], [0.0]])
-    any_ = float(any(b[5] and not b[3] and not b[4] for b in found))
     cols = [words, density, near(words, -1), near(density, -1), near(words, 1), near(density, 1)]
-    cols += [np.array([b[5] for b in found], float), np.full(n, any_), np.array([b[6] in _HEADS for b in found], float)]
-    cols += [np.array([b[i] for b in found], float) for i in (3, 4)]
-    return np.stack(cols, axis=1) if n else np.zeros((0, len(cols)))
+    cols += [np.array([b[6] in _HEADS for b in found], float), *(np.array([b[i] for b in found], float) for i in (3, 4, 5))]
+    return np.stack(cols, axis=1) if n else np.zeros((0, len(FEATURES)))
 
 
 #: Layouts of labelled pages: main text blocks open with "+"; "~" stands for 1 to 60 words, "~~" for 20 to 80, "^" for 1 to 4.
@@ -180,18 +211,20 @@ LAYOUTS = [
     "<p><a href=x>^</a> <a href=x>^</a><h2>+^</h2><p>+~~<p>+~~ <a href=x>^</a> ~~<p><a href=x>^</a>",
     '<nav><a href=x>^</a></nav><article><header><h1>+~</h1></header><p>+~<ul><li>+~<li>+^</ul><div class="share"><a href=x>^</a></div><section class="comments"><article><p>~</article></section></article>',
     '<div class="newsletter">~</div><article><p>+~<p>+^</article><div class="related"><h3>^</h3><ul><li><a href=x>~</a></ul></div>',
-    "<table><tr><td><a href=x>^</a><tr><td><a href=x>^</a><tr><td><a href=x>^</a><tr><td><a href=x>^</a></table><div><h1>+^</h1><div>+~~</div><div>+~~</div></div><div><a href=x>^</a> <a href=x>^</a></div><div>^</div>",
-    "<div><a href=x>^</a></div><div><a href=x>^</a></div><div><a href=x>^</a></div><div>^</div><h1>+^</h1><p>+~~<p>+~~<p>+^<p>+~~<div><a href=x>^</a></div><div><a href=x>^</a></div><div>^</div>",
+    "<table><tr><td><a href=x>^</a><tr><td><a href=x>^</a><tr><td><a href=x>^</a><tr><td><a href=x>^</a></table><div><h1>+^</h1><div>+~~</div><div>+~~</div></div><div><a href=x>^</a> <a href=x>^</a></div>",
+    "<div><a href=x>^</a></div><div><a href=x>^</a></div><div><a href=x>^</a></div><h1>+^</h1><p>+~~<p>+~~<p>+^<p>+~~<div><a href=x>^</a></div><div><a href=x>^</a></div>",
     "<ul><li><a href=x>~</a><li><a href=x>~</a><li><a href=x>~</a></ul><div><div>+~~</div><blockquote>+~~</blockquote><div>+~~</div></div><ul><li><a href=x>^</a><li><a href=x>^</a></ul>",
-    '<div class="top-bar"><span>^</span></div><div class="post"><h2>+^</h2><p>+~<div class="grid side-by-side"><p>+^<p>+^</div><section id="social-history"><h3>+^</h3><p>+~</section><div class="ad-slot">~</div><p>+~</div><div class="comment-list"><p>^<p>~~</div>',
+    '<div class="navbar"><span>^</span></div><div class="post"><h2>+^</h2><p>+~<div class="grid side-by-side"><p>+^<p>+^</div><section id="social-history"><h3>+^</h3><p>+~</section><div class="ad-slot">~</div><p>+~</div><div class="comment-list"><p>^<p>~~</div>',
     "<main><p>+~<ol><li>+<a href=x>~</a><li>+<a href=x>^</a></ol><figure><img><figcaption>+^</figcaption></figure></main><nav><a href=x>^</a><a href=x>^</a></nav><footer><ul><li><a href=x>^</a><li>^</ul></footer>",
     "<nav><ul><li><a href=x>^</a><li><a href=x>^</a><li><a href=x>^</a></ul></nav><aside><p>~~</aside><article><h1>+^</h1><p>+^<p>+^</article><form><label>^</label><p>~</form>",
     "<article><p>+^</article><footer><p>~~<p><a href=x>^</a></footer>",
     "<p>+~<p>+~",
-    "<div>~</div><div><a href=x>^</a></div><article><p>+^<p>+~</article><div>~</div>",
-    "<article><section><p>+^</section><div>+^</div></article><div>~</div>",
-    "<div>^</div><main><p>+^</main>",
+    "<nav><a href=x>^</a> <a href=x>^</a></nav><article><p>+^<p>+~</article><nav><a href=x>^</a></nav>",
+    "<nav>^ <a href=x>^</a> <a href=x>^</a> <a href=x>^</a></nav><article><section><p>+^</section><div>+^</div></article><footer>~</footer>",
+    "<article><h1>+^</h1><nav><a href=x>^</a><a href=x>^</a></nav><p>+~<p>+^<p>+<a href=x>~</a><p>+~</article><nav><ul><li><a href=x>~</a><li><a href=x>^</a></ul></nav>",
+    "<article><p>+~~<p>+~<div class='user-comments'><p>~~<p>^<p>~</div><p hidden>~</p></article>",
     "<body><h1>+^</h1><p>+~<p>+^</body>",
+    "<div>^ <a href=x>^</a> <a href=x>^</a></div><article><p>+^ <a href=x>^</a> ^<p>+^<p>+^ <a href=x>^</a><p>+~ <a href=x>~</a></article><div><a href=x>^</a> ^ <a href=x>^</a></div>",
     "<header><a href=x>^</a></header><aside>~~</aside><div><h1>+^</h1><p>+~~<p>+~~</div><aside><h3>^</h3><p>~~</aside><footer>~~</footer>",
 ]
 #: Pages made of each layout, with lengths drawn anew.
@@ -208,14 +241,14 @@ def labelled_pages(seed: int = 5) -> list[str]:
 
 TRAINING_PAGES = labelled_pages()
 #: Blocks in a leaf of the tree.
-LEAST = 4
+LEAST = 2
 
 
-def train_tree(x: np.ndarray, y: np.ndarray, depth: int = 8) -> tuple:
+def train_tree(x: np.ndarray, y: np.ndarray, depth: int = 12) -> tuple:
     """(feature, threshold, left, right) nested; leaves are (label,)."""
     if depth == 0 or len(set(y)) < 2:
         return (bool(2 * y.sum() >= len(y)) if len(y) else False,)
-    best = None
+    best, whole = None, len(y) * y.mean() * (1 - y.mean())
     for j in range(x.shape[1]):
         values = np.unique(x[:, j])
         for cut in (values[:-1] + values[1:]) / 2:
@@ -223,6 +256,7 @@ def train_tree(x: np.ndarray, y: np.ndarray, depth: int = 8) -> tuple:
             if min(left.sum(), len(y) - left.sum()) < LEAST:
                 continue
             cost = sum(len(s) * s.mean() * (1 - s.mean()) for s in (y[left], y[~left]))
+            cost = (cost + whole) / 2 if j in HINTS else cost
             if best is None or cost < best[0] - 1e-12:
                 best = (cost, j, float(cut))
     if best is None:
