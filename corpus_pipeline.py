@@ -4,6 +4,8 @@ doc_id, or have none, are judged each."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs with a number of its own for each row, written."""
+    """docs with a number of its own for each row, written; a column of the number's name raises."""
+    if ROW in docs.columns:
+        raise ValueError(f"docs already have a column named {ROW}")
     return common.written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
@@ -53,7 +57,27 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack_documents(docs)
 
 
-STAGES = [("toxicity", toxicity_stage), ("near_duplicates", near_duplicate_stage), ("decontamination", decontamination_stage), ("packing", packing_stage)]
+#: What each stage's last call has made in the shared folder.
+_made: dict[str, list[str]] = {}
+
+
+def freed(name: str, before: str | None, stage):
+    """stage, which first removes what the stage before it has made: its rows are written and nothing else reads that. What docs
+    themselves still read stays."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.remove(_made.pop(before, []), docs)
+        count = common.made_count()
+        out = stage(spark, docs, sf_dir)
+        _made[name] = common.made_since(count)
+        return out
+
+    return run_stage
+
+
+_IN_ORDER = [("toxicity", toxicity_stage), ("near_duplicates", near_duplicate_stage), ("decontamination", decontamination_stage), ("packing", packing_stage)]
+STAGES = [(name, freed(name, before, stage)) for (name, stage), before in zip(_IN_ORDER, [None, *(n for n, _ in _IN_ORDER)])]
 #: SQL has neither the toxicity model nor the tokenizer.
 ORACLE_SQL = None
 

@@ -48,6 +48,26 @@ def _remove_made(pid: int) -> None:
             pass
 
 
+def made_since(count: int) -> list[str]:
+    """The paths that this session has made after its first ``count``."""
+    return _made[count:]
+
+
+def made_count() -> int:
+    return len(_made)
+
+
+def remove(paths: list[str], reader: DataFrame) -> None:
+    """Removes paths that this session has made, but those that ``reader`` still reads."""
+    from pyarrow.fs import FileType
+
+    read = [f.rpartition("://")[-1].removeprefix("file:").lstrip("/") for f in reader.inputFiles()]
+    for path in paths:
+        fs, place = open_fs(path)
+        if not any(f.startswith(place.lstrip("/") + "/") for f in read) and fs.get_file_info(place).type == FileType.Directory:
+            fs.delete_dir(place)
+
+
 def written(df: DataFrame, name: str, **options) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

@@ -142,3 +142,31 @@ def test_captures_against_brute_force(spark):
 def test_no_conversations(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digests(chat.conversations(chat.chains(none))).count() == 0
+
+
+def test_a_stage_frees_what_the_one_before_has_made_but_not_what_docs_read(spark, tmp_path):
+    common, at = corpus_pipeline.common, {}
+
+    def first(s, docs, sf_dir):
+        at["table"] = common.written(docs, "first")
+        return at["table"]
+
+    one = corpus_pipeline.freed("one", None, first)
+    two = corpus_pipeline.freed("two", "one", lambda s, docs, sf_dir: docs)
+    docs = one(spark, spark.range(5), "")
+    assert two(spark, docs, "").count() == 5  # docs not written again: they stay
+    one(spark, spark.range(5), "").write.parquet(f"{tmp_path}/again")
+    assert two(spark, spark.read.parquet(f"{tmp_path}/again"), "").count() == 5
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|PATH_NOT_FOUND|FAILED_READ_FILE"):
+        at["table"].count()
+    with pytest.raises(ValueError):
+        corpus_pipeline.numbered(spark.range(1).withColumnRenamed("id", corpus_pipeline.ROW))
+
+
+def test_empty_documents_give_no_sequences(spark, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").where("false" if name == "documents" else "true").write.parquet(f"{tmp_path}/{name}.parquet")
+    try:
+        assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    except ValueError as e:
+        assert "label" in str(e)  # no labelled document to train on
