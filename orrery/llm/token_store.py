@@ -1,13 +1,15 @@
 """Token-id shards: every document is one zstandard frame under a dictionary shared by all shards.
 
 Shard file: ``MAGIC``, the 32-byte SHA-256 of the dictionary (zeros: none), one byte with the width of an id (2 or 4
-bytes, little-endian unsigned), the frames in ascending doc_id order, an index of ``<qQII`` rows (doc_id, place of the
-frame, its bytes, ids), and a footer ``<QI`` (place and rows of the index) before ``MAGIC`` again. A document is read by
-one seek and one small decompression.
-
-Cases: a null text counts as empty, so the document holds the end id alone; a null doc_id sorts first and is -1 in the
-index with its own flag kept in the index table; rows that repeat a doc_id are all kept, ordered by their bytes; an empty
-table gives no shard and no rows; other columns are ignored.
+bytes, little-endian unsigned), the frames in ascending doc_id order, an index of ``<qQIIB`` rows (doc_id, place of the
+frame, its bytes, ids, whether there is a doc_id), and a footer ``<QI`` (place and rows of the index) before ``MAGIC`` again. A
+shard is read by its footer and index alone; a document takes one seek and one small decompression (``read_document``). A
+shard has its name only when it is whole: a task that fails leaves no footer and no such file.
+
+Cases: a null text counts as empty, so the document holds the end id alone; a null doc_id sorts first and is marked so in the
+index; rows that repeat a doc_id are all kept, ordered by their bytes; where too little text is there to train a dictionary,
+frames have none and the file says so; an empty table gives no shard and no rows; very long texts are frames like any other;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,20 +26,21 @@ from pyspark.sql import functions as F
 from orrery.llm import common
 from orrery.llm.tokens import default_tokenizer, encoder, forget
 
-MAGIC = b"IDSHARD1"
+MAGIC = b"IDSHARD2"
 HEADER = len(MAGIC) + 33
-_ROW, _FOOT = "<qQII", "<QI"
+_FOOT = "<QI"
+_ROW = np.dtype([("doc_id", "<i8"), ("place", "<u8"), ("bytes", "<u4"), ("ids", "<u4"), ("known", "u1")])
+SHARDS = "shard int, path string, documents long, n_tokens long, dict_sha256 string"
 
 
 def train_dictionary(samples: list[bytes], size: int = 65_536) -> bytes:
-    """A zstandard dictionary trained on serialized id arrays; few or tiny samples: their bytes as a raw dictionary."""
+    """A zstandard dictionary trained on serialized id arrays; empty where they are too few to train one."""
     import zstandard
 
-    samples = [s for s in samples if s]
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes() if len(samples) >= 64 else b"".join(samples)[-size:]
+        return zstandard.train_dictionary(size, [s for s in samples if s]).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
+        return b""
 
 
 def _dictionary(data: bytes):
@@ -69,8 +72,7 @@ def write_shards(
     docs: DataFrame, path: str, *, tokenizer: str | None = None, end_id: int = 2, width: int | None = None, level: int = 3,
     shards: int | None = None, sample_rows: int = 1000, sample_chars: int = 20_000,
 ) -> DataFrame:
-    """Writes the shards under ``path`` and returns the index table, one row per document: doc_id, shard, path, place,
-    bytes, n_tokens, shard_start (ids before it in its shard), dict_sha256.
+    """Writes the shards under ``path`` and returns a row for each: shard (their order), path, documents, n_tokens, dict_sha256.
 
     The dictionary is fitted on a bounded sample (``sample_rows`` texts of up to ``sample_chars``, by hash of doc_id from all rows); every
     document is written. Without a ``width``, ids have 2 bytes where all of them fit, else 4. Only compressed frames are
@@ -108,98 +110,120 @@ def write_shards(
     def store(batches):
         forget()
         fs, base = common.open_fs(path)
-        out, name, place, start, rows, shard = None, None, 0, 0, [], None
+        out, name, place, rows, shard = None, None, 0, [], None
 
         def close():
-            index = b"".join(struct.pack(_ROW, *r) for r in rows)
-            out.write(index + struct.pack(_FOOT, place, len(rows)) + MAGIC)
+            index = np.array(rows, _ROW)
+            out.write(index.tobytes() + struct.pack(_FOOT, place, len(rows)) + MAGIC)
             out.close()
+            fs.move(f"{name}.part", name)
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([x]) for x in (name, len(rows), int(index["ids"].sum(dtype=np.int64)), sha.hex()))], names=[c.split()[0] for c in SHARDS.split(", ")])
 
         try:
             for batch in batches:
-                n = batch.num_rows
-                ids, sh, tokens, bodies = (batch.column(i).to_pylist() for i in range(4))
-                names, places, starts = [], [], []
-                for i in range(n):
-                    if sh[i] != shard:
+                for doc, number, tokens, body in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                    if number != shard:
                         if out is not None:
-                            close()
-                        shard, name = sh[i], f"{base}/{sh[i]:06d}-{uuid.uuid4().hex}.ids"
+                            yield close()
+                        shard, name = number, f"{base}/{number:06d}-{uuid.uuid4().hex}.ids"
                         fs.create_dir(base, recursive=True)
-                        out, place, start, rows = fs.open_output_stream(name), HEADER, 0, []
+                        out, place, rows = fs.open_output_stream(f"{name}.part"), HEADER, []
                         out.write(MAGIC + sha + bytes([width]))
-                    out.write(bodies[i])
-                    names.append(name)
-                    places.append(place)
-                    starts.append(start)
-                    rows.append((-1 if ids[i] is None else ids[i], place, len(bodies[i]), tokens[i]))
-                    place += len(bodies[i])
-                    start += tokens[i]
-                if n:
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0), batch.column(1), pa.array(names), pa.array(places, pa.int64()), pa.array([len(b) for b in bodies], pa.int64()), batch.column(2), pa.array(starts, pa.int64()), pa.array([sha.hex()] * n)],
-                        names=["doc_id", "shard", "path", "place", "bytes", "n_tokens", "shard_start", "dict_sha256"],
-                    )
+                    out.write(body)
+                    rows.append((doc or 0, place, len(body), tokens, doc is not None))
+                    place += len(body)
+            if out is not None:
+                yield close()
         finally:
-            if out is not None and not out.closed:
-                close()
+            if out is not None and not out.closed:  # cut short: no index, no name
+                out.close()
+                fs.delete_file(f"{name}.part")
 
     kept = docs.mapInArrow(frames, "doc_id long, shard int, n_tokens long, frame binary")
     dealt = kept.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "n_tokens", "frame")
-    index = common.written(dealt.mapInArrow(store, "doc_id long, shard int, path string, place long, bytes long, n_tokens long, shard_start long, dict_sha256 string"), "ids-index")
+    written = common.written(dealt.mapInArrow(store, SHARDS), "ids-shards")
     fs, base = common.open_fs(path)
     fs.create_dir(base, recursive=True)
     with fs.open_output_stream(f"{base}/dictionary-{sha.hex()}.zdict") as f:
         f.write(data)
-    return index
+    return written
 
 
-def read_shards(index: DataFrame, path: str) -> DataFrame:
-    """Reads every document of an index back: doc_id, start (ids of all documents before it), n_tokens, ids binary."""
-    totals = sorted((r["shard"], r["n"]) for r in index.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect())
-    before, base = 0, {}
-    for shard, n in totals:
-        base[shard] = before
-        before += n
+class Shard:
+    """An open shard: its index, from the file's own footer, and its documents' ids."""
 
-    @common.tidy
-    def read(batches):
+    def __init__(self, fs, path: str, dictionaries: str):
         import zstandard
 
-        fs, top = common.open_fs(path)
-        unpack, files = {}, {}
+        self.file = fs.open_input_file(path)
+        size, tail = self.file.size(), struct.calcsize(_FOOT) + len(MAGIC)
+        head, foot = self.file.read_at(HEADER, 0), self.file.read_at(tail, max(0, size - tail))
+        if size < HEADER + tail or head[: len(MAGIC)] != MAGIC or foot[-len(MAGIC) :] != MAGIC:
+            raise ValueError(f"{path} is no whole shard")
+        place, rows = struct.unpack(_FOOT, foot[: -len(MAGIC)])
+        self.index = np.frombuffer(self.file.read_at(rows * _ROW.itemsize, place), _ROW)
+        sha, self.width = head[len(MAGIC) : len(MAGIC) + 32], head[HEADER - 1]
+        data = b""
+        if sha != bytes(32):
+            with fs.open_input_file(f"{dictionaries}/dictionary-{sha.hex()}.zdict") as f:
+                data = f.read()
+            if hashlib.sha256(data).digest() != sha:
+                raise ValueError(f"{path} was written with another dictionary")
+        self.unpack = zstandard.ZstdDecompressor(dict_data=_dictionary(data))
+
+    def ids(self, row: int) -> bytes:
+        """Ids of the row-th document as unsigned 32-bit integers."""
+        at = self.index[row]
+        raw = self.unpack.decompress(self.file.read_at(int(at["bytes"]), int(at["place"])))
+        return np.frombuffer(raw, f"<u{self.width}").astype("<u4").tobytes()
+
+    def rows_of(self, doc_id: int | None) -> np.ndarray:
+        """The rows that hold a doc_id; the index is in the order of doc_ids, null first."""
+        first = len(self.index) - int(self.index["known"].sum())
+        if doc_id is None:
+            return np.arange(first)
+        ids = self.index["doc_id"][first:]
+        return np.arange(*(first + np.searchsorted(ids, doc_id, side=s) for s in ("left", "right")))
+
+
+def read_document(shard: str, path: str, doc_id: int | None) -> list[np.ndarray]:
+    """The ids of a document (of all that share its doc_id) of one shard file; ``path``: where the shards were written."""
+    fs, base = common.open_fs(path)
+    opened = Shard(fs, shard, base)
+    try:
+        return [np.frombuffer(opened.ids(int(r)), "<u4") for r in opened.rows_of(doc_id)]
+    finally:
+        opened.file.close()
+
+
+def read_shards(shards: DataFrame, path: str) -> DataFrame:
+    """Reads every document of the shards back, by the files' own indexes: doc_id, start (ids of all documents before it),
+    n_tokens, ids binary."""
+    before, starts = 0, {}
+    for r in sorted(shards.select("shard", "n_tokens").collect()):  # a row a shard
+        starts[r["shard"]] = before
+        before += r["n_tokens"]
+
+    @common.tidy
+    def read(batches):
+        fs, base = common.open_fs(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                doc, shard, names, places, sizes, tokens, starts, shas = (part.column(i).to_pylist() for i in range(8))
-                ids = []
-                for i in range(len(doc)):
-                    if names[i] not in files:
-                        for f, _ in files.values():
-                            f.close()
-                        f = fs.open_input_file(names[i])
-                        head = f.read_at(HEADER, 0)
-                        if head[:8] != MAGIC or head[8:40] != bytes.fromhex(shas[i]):
-                            raise ValueError(f"{names[i]} isn't a shard under dictionary {shas[i]}")
-                        files = {names[i]: (f, head[40])}
-                    f, width = files[names[i]]
-                    if shas[i] not in unpack:
-                        with fs.open_input_file(f"{top}/dictionary-{shas[i]}.zdict") as f_dict:
-                            data = f_dict.read()
-                        if data and hashlib.sha256(data).hexdigest() != shas[i]:
-                            raise ValueError("the dictionary isn't the one the shard was written with")
-                        unpack[shas[i]] = zstandard.ZstdDecompressor(dict_data=_dictionary(data))
-                    raw = unpack[shas[i]].decompress(f.read_at(sizes[i], places[i]))
-                    ids.append(np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([base[s] + x for s, x in zip(shard, starts)], pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    names=["doc_id", "start", "n_tokens", "ids"],
-                )
+            for number, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                opened = Shard(fs, name, base)
+                n = opened.index["ids"].astype(np.int64)
+                start = starts[number] + np.cumsum(n) - n
+                for at in range(0, len(n), 512):
+                    rows = slice(at, at + 512)
+                    some = opened.index[rows]
+                    ids = pa.array([opened.ids(i) for i in range(at, min(at + 512, len(n)))], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(some["doc_id"].astype(np.int64), mask=some["known"] == 0), pa.array(start[rows]), pa.array(n[rows]), ids], names=["doc_id", "start", "n_tokens", "ids"])
+                opened.file.close()
 
-    return index.select("doc_id", "shard", "path", "place", "bytes", "n_tokens", "shard_start", "dict_sha256").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    dealt = shards.select("shard", "path").repartition(common.row_parallelism(shards.sparkSession))
+    return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.shared_path(spark, "token-shards")
-    index = write_shards(common.table(spark, sf_dir, "documents"), path)
-    return read_shards(index, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    shards = write_shards(common.table(spark, sf_dir, "documents"), path)
+    return read_shards(shards, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
