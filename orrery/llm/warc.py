@@ -2,12 +2,14 @@
 
 Every capture is three records, each its own gzip member: the response (or, where an equal payload was captured under a
 smaller id, a revisit without body), its request, and metadata; request and metadata name the capture's record in
-WARC-Concurrent-To. The reader parses whatever record order the files have and joins the three kinds by these identifiers.
+WARC-Concurrent-To. The reader parses whatever record order the files have, keeps every value of a header field that repeats,
+and joins the three kinds by these identifiers, on whichever side they stand; all requests of a capture are kept.
 
 Cases: null html is an empty payload; a null url is written as an empty target; a null page_id sorts after all others and
 never is referred to by number; rows that repeat page_id and payload are captures each, the first of them the response;
-payloads below ``least`` bytes are responses each; captures without request or metadata have null or an empty array; an
-empty table gives no file and no rows; other columns are ignored.
+payloads below ``least`` bytes are responses each; captures without request or metadata have null or an empty array; a record
+that names several captures is part of each, one that names none, and that none names, of no transaction; an empty table gives
+no file and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from orrery.llm import common
 
 DATE = "2024-01-01T00:00:00Z"
-RECORD = "record_id string, type string, concurrent_to string, target string, date string, refers_to string, payload_digest string, payload_bytes long, page_id long, block binary"
+RECORD = "record_id string, type string, concurrent_to string, target string, date string, refers_to string, payload_digest string, payload_bytes long, page_id long, block binary, concurrent array<string>"
 
 
 def digest(payload: bytes) -> str:
@@ -93,7 +95,7 @@ def write_archives(pages: DataFrame, path: str, *, least: int = 0) -> DataFrame:
 
 
 def parse(stream):
-    """(fields, block) of every record of an open archive, one at a time."""
+    """(fields, block) of every record of an open archive, one at a time; a field has all its values."""
     with gzip.open(stream) as f:
         while line := f.readline():
             if not line.strip():
@@ -101,8 +103,8 @@ def parse(stream):
             fields = {}
             while (line := f.readline().rstrip(b"\r\n")) != b"":
                 key, _, value = line.partition(b":")
-                fields[key.decode().lower()] = value.strip().decode("utf-8", "surrogatepass")
-            yield fields, f.read(int(fields["content-length"]))
+                fields.setdefault(key.strip().decode().lower(), []).append(value.strip().decode("utf-8", "surrogatepass"))
+            yield fields, f.read(int(fields["content-length"][0]))
 
 
 def read_records(files: DataFrame, path: str, *, blocks: bool = False) -> DataFrame:
@@ -115,7 +117,8 @@ def read_records(files: DataFrame, path: str, *, blocks: bool = False) -> DataFr
             for name in batch.column(0).to_pylist():
                 rows, held = [], 0
                 with fs.open_input_stream(name, compression=None) as stream:
-                    for f, block in parse(stream):
+                    for every, block in parse(stream):
+                        f = {name: values[0] for name, values in every.items()}
                         kind, size, page, told = f["warc-type"], None, None, f.get("warc-payload-digest", "").rpartition(":")[2] or None
                         head, _, body = block.partition(b"\r\n\r\n")
                         if kind == "response":
@@ -127,7 +130,7 @@ def read_records(files: DataFrame, path: str, *, blocks: bool = False) -> DataFr
                         elif kind == "metadata":
                             page = next((int(x[5:]) for x in block.split(b"\r\n") if x.startswith(b"page:")), None)
                         keep = block if blocks or kind == "metadata" else None
-                        rows.append((f["warc-record-id"], kind, f.get("warc-concurrent-to"), f.get("warc-target-uri"), f["warc-date"], f.get("warc-refers-to"), told, size, page, keep))
+                        rows.append((f["warc-record-id"], kind, f.get("warc-concurrent-to"), f.get("warc-target-uri"), f["warc-date"], f.get("warc-refers-to"), told, size, page, keep, every.get("warc-concurrent-to", [])))
                         held += len(keep or b"")
                         if len(rows) == 2048 or held > 8_000_000:
                             yield _batch(rows)
@@ -139,20 +142,24 @@ def read_records(files: DataFrame, path: str, *, blocks: bool = False) -> DataFr
 
 
 def _batch(rows):
-    kinds = [pa.string()] * 7 + [pa.int64()] * 2 + [pa.binary()]
+    kinds = [pa.string()] * 7 + [pa.int64()] * 2 + [pa.binary(), pa.list_(pa.string())]
     names = [x.split()[0] for x in RECORD.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
 
 def transactions(records: DataFrame) -> DataFrame:
-    """One nested row per capture: record_id, capture, request, metadata (array); joined by the concurrent-to identifiers."""
+    """One nested row per capture: capture_id, capture, request (the first one), requests and metadata (arrays of all); joined by the
+    concurrent-to identifiers of either side."""
+    records = common.written(records, "records")
     body = F.struct("record_id", "type", "concurrent_to", "target", "date", "refers_to", "payload_digest", "payload_bytes", "page_id", "block")
-    key = F.when(F.col("type").isin("response", "revisit"), F.col("record_id")).otherwise(F.col("concurrent_to"))
     main, ask, meta = F.col("type").isin("response", "revisit"), F.col("type") == "request", F.col("type") == "metadata"
-    nested = records.withColumn("key", key).where("key is not null").groupBy(F.col("key").alias("capture_id")).agg(
-        F.max(F.when(main, body)).alias("capture"), F.max(F.when(ask, body)).alias("request"), F.sort_array(F.collect_list(F.when(meta, body))).alias("metadata")
-    )
-    return nested.where("capture is not null")
+    parts = records.withColumn("key", F.explode(F.when(main, F.array("record_id")).otherwise(F.array_distinct("concurrent"))))
+    naming = records.where(main & (F.size("concurrent") > 0)).select(F.col("record_id").alias("key"), F.explode(F.array_distinct("concurrent")).alias("record_id"))
+    if not naming.isEmpty():
+        parts = parts.unionByName(records.where(~main).join(naming, "record_id"))
+    every = lambda kind: F.array_distinct(F.sort_array(F.collect_list(F.when(kind, body))))  # noqa: E731  a record named from both sides is there once
+    nested = parts.groupBy(F.col("key").alias("capture_id")).agg(F.max(F.when(main, body)).alias("capture"), every(ask).alias("requests"), every(meta).alias("metadata"))
+    return nested.where("capture is not null").select("capture_id", "capture", F.get("requests", 0).alias("request"), "requests", "metadata")
 
 
 def captures(found: DataFrame) -> DataFrame:
