@@ -1,7 +1,7 @@
 """URL verdicts: host and path rules, and for the other URLs a ratio of character language models.
 
-Two variable-order Markov models over bytes (orders 0 to ORDER, each mixed with the next lower one by Witten-Bell-like
-weights) are counted from all URLs that the rules accept and reject. A URL is blocked if its length-normalised log-likelihood
+Two variable-order Markov models over bytes (orders 0 to ORDER; to the counts of each order, ALPHA more are added in the
+proportions of the next lower one) are counted from all URLs that the rules accept and reject. A URL is blocked if its length-normalised log-likelihood
 difference (rejected less accepted, nats a byte) is above a threshold: the cut with the smallest sum of both error rates on a
 fifth of these URLs (by hash of the url) under models counted from the others alone. The models are counted, calibrated and
 applied on the whole url; host and path serve the rules alone.
