@@ -31,13 +31,13 @@ def number(values: list[str], place: int, default, kind=float):
 
 
 def params_of(algorithm: str, values: list[str]):
-    """The parameters of an algorithm from its arguments, with their defaults and bounds."""
+    """The parameters of an algorithm from its arguments and the environment (block sizes), with their defaults and bounds."""
     if algorithm == "svm":
         return svm.Params(number(values, 0, 20, int), number(values, 1, 0.02), number(values, 2, 1e-4))
     if algorithm == "mlp":
-        return mlp.Params(number(values, 0, 30, int), number(values, 1, 0.01), number(values, 2, 1e-4))
+        return mlp.Params(number(values, 0, 30, int), number(values, 1, 0.01), number(values, 2, 1e-4), block=harness.block_of("MLP_BLAS_BLOCK", mlp.Params.block))
     if algorithm == "knn":
-        return knn.Params(number(values, 0, 11, int))
+        return knn.Params(number(values, 0, 11, int), harness.block_of("KNN_BLAS_BLOCK", knn.Params.block))
     if algorithm == "dt":
         return tree.Params(number(values, 0, 12, int))
     return naive_bayes.Params()

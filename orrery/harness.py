@@ -123,6 +123,15 @@ def thread_budget(algorithm: str, threads: int) -> dict[str, str]:
     return {"OMP_NUM_THREADS": n, "OPENBLAS_NUM_THREADS": n, "MKL_NUM_THREADS": n}
 
 
+def block_of(name: str, default: int, env: dict[str, str] = os.environ) -> int:  # type: ignore[assignment]
+    """The block size that a variable of the environment gives; the default where it is unset, no number or below 1."""
+    try:
+        n = int(env.get(name, default))
+    except ValueError:
+        return default
+    return n if n >= 1 else default
+
+
 def threads_of(env: dict[str, str] = os.environ, default: int = 8) -> int:  # type: ignore[assignment]
     """N_THREADS, at least 1; the default where it is unset or no number."""
     try:

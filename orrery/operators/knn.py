@@ -21,17 +21,19 @@ from pyspark.sql import functions as F
 
 from orrery import storage
 
-CHUNK, QUERIES, PIVOTS, HELD = 1024, 256, 256, 1 << 16
+CHUNK, PIVOTS, HELD = 1024, 256, 1 << 16
 
 
 @dataclass(frozen=True)
 class Params:
-    """k, at least 1."""
+    """k, and block, the queries compared at a time (no result depends on it), each at least 1."""
 
     k: int = 11
+    block: int = 256
 
     def __post_init__(self):
-        object.__setattr__(self, "k", max(self.k, 1))
+        for name in ("k", "block"):
+            object.__setattr__(self, name, max(getattr(self, name), 1))
 
 
 def squared_norms(x: np.ndarray) -> np.ndarray:
@@ -114,9 +116,10 @@ class Best:
         self.d[who], self.ids[who], self.y[who] = (np.take_along_axis(e, first, 1) for e in every)
 
 
-def neighbours(train: DataFrame, queries: DataFrame, k: int = 11, *, key: str = "id", vector: str = "features", label: str = "y") -> DataFrame:
-    """query, rank (from 1), neighbour, distance (squared), y of the min(k, rows) nearest training rows of every query."""
-    k = max(k, 1)
+def neighbours(train: DataFrame, queries: DataFrame, k: int = 11, *, key: str = "id", vector: str = "features", label: str = "y", block: int = Params.block) -> DataFrame:
+    """query, rank (from 1), neighbour, distance (squared), y of the min(k, rows) nearest training rows of every query; a task meets
+    block queries at a time."""
+    k, size = max(k, 1), max(block, 1)
     known = _usable(train.select(key, vector, label).where(F.col(key).isNotNull() & F.col(label).isNotNull()), vector)
     sizes = known.groupBy(F.size(vector).alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     width = int(sizes[0]) if sizes else 0
@@ -144,7 +147,7 @@ def neighbours(train: DataFrame, queries: DataFrame, k: int = 11, *, key: str =
         def against(held):
             for name in told:
                 system, place = storage.open_fs(name)
-                for block in ds.dataset(place, filesystem=system).to_batches(batch_size=QUERIES):
+                for block in ds.dataset(place, filesystem=system).to_batches(batch_size=size):
                     if block.num_rows:
                         best = Best(np.asarray(block.column(vector).flatten(), np.float64).reshape(block.num_rows, width), k, pivots)
                         best.visit(held)
@@ -187,11 +190,12 @@ class Model:
     k: int
     key: str = "id"
     vector: str = "features"
+    block: int = Params.block
 
     def transform(self, queries: DataFrame) -> DataFrame:
-        found = vote(neighbours(self.train, queries, self.k, key=self.key, vector=self.vector))
+        found = vote(neighbours(self.train, queries, self.k, key=self.key, vector=self.vector, block=self.block))
         return queries.join(found.withColumnRenamed("query", self.key), self.key, "left").withColumn("pred", F.coalesce("pred", F.lit(-1)))
 
 
 def fit_model(train: DataFrame, params: Params = Params(), *, key: str = "id", vector: str = "features") -> Model:
-    return Model(train, params.k, key, vector)
+    return Model(train, params.k, key, vector, params.block)

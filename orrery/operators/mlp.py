@@ -22,7 +22,6 @@ from orrery.functions import scalar
 from orrery.operators import blocks, sequences
 
 LAYERS = ("w1", "b1", "w2", "b2", "w3", "b3")
-FORWARD_ROWS = 512
 
 
 @dataclass(frozen=True)
@@ -35,9 +34,10 @@ class Params:
     hidden: tuple[int, int] = (64, 32)
     seed: int = 42
     workers: int = 1
+    block: int = 512  # rows of a forward pass; no prediction depends on it beyond rounding
 
     def __post_init__(self):
-        for name in ("batch", "workers"):
+        for name in ("batch", "workers", "block"):
             object.__setattr__(self, name, max(getattr(self, name), 1))
         for name in ("epochs", "lr", "decay"):
             object.__setattr__(self, name, max(getattr(self, name), 0))
@@ -101,9 +101,10 @@ class Model:
     features: list[str]
     weights: Weights
     epoch_loss: list[float]
+    block: int = Params.block
 
     def transform(self, rows: DataFrame) -> DataFrame:
-        z = logits(rows, self.features, self.weights)
+        z = logits(rows, self.features, self.weights, self.block)
         return z.withColumn("pred", F.when(F.col("logit") >= 0, 1).when(F.col("logit") < 0, -1))
 
 
@@ -133,7 +134,7 @@ def fit(train: DataFrame, features: list[str], keys: list[str], params: Params =
     or a learning rate, or with less than a step.
     """
     w = {n: v.copy() for n, v in (weights or initial(len(features), params)).items()}
-    model = Model(features, w, [])
+    model = Model(features, w, [], params.block)
     if not features or params.epochs <= 0 or params.lr <= 0:
         return model
     spark = train.sparkSession
@@ -178,7 +179,7 @@ def _there(place: str) -> bool:
 def fit_full(train: DataFrame, features: list[str], params: Params = Params(), weights: Weights | None = None) -> Model:
     """Trained by one step an epoch on the gradient of all rows."""
     w = weights or initial(len(features), params)
-    model = Model(features, w, [])
+    model = Model(features, w, [], params.block)
     if not features or params.epochs <= 0 or params.lr <= 0:
         return model
     speed = {n: np.zeros_like(v) for n, v in w.items()}
@@ -217,13 +218,13 @@ def _summed_long(rows: DataFrame, size: int, partial) -> np.ndarray:
     return out
 
 
-def logits(rows: DataFrame, features: list[str], w: Weights) -> DataFrame:
+def logits(rows: DataFrame, features: list[str], w: Weights, block: int = Params.block) -> DataFrame:
     """rows with logit; null where a feature is null. Only the features go through numpy."""
 
     @F.arrow_udf(T.DoubleType())
     def judge(*columns: pa.Array) -> pa.Array:
         x = np.stack([c.to_numpy(zero_copy_only=False) for c in columns], axis=1).astype(np.float32).astype(np.float64)
-        z = np.concatenate([forward(w, np.nan_to_num(x[at : at + FORWARD_ROWS]))[2] for at in range(0, len(x), FORWARD_ROWS)] or [np.zeros(0)])
+        z = np.concatenate([forward(w, np.nan_to_num(x[at : at + block]))[2] for at in range(0, len(x), block)] or [np.zeros(0)])
         return pa.array(z, mask=np.isnan(x).any(axis=1))
 
     return rows.withColumn("logit", judge(*(F.col(f).cast("float") for f in features)))

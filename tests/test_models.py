@@ -5,6 +5,7 @@ import os
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from orrery import catalog
 from orrery.operators import blocks, evaluate, knn, mlp, naive_bayes, ordering, prep, svm, tree
@@ -73,6 +74,7 @@ def test_metrics_of_no_rows_are_zero(spark):
 
 
 def test_negative_parameters_count_as_bounds():
+    assert knn.Params(5, 0).block == mlp.Params(block=-4).block == 1
     assert svm.Params(-1, -0.5, -1) == svm.Params(0, 0, 0) and knn.Params(0).k == 1 and tree.Params(-3).max_depth == 1 and mlp.Params(-1).epochs == 0
 
 
@@ -87,6 +89,9 @@ def test_neighbours_votes_ties_and_odd_rows(spark):
     pred = lambda k: {r["id"]: r["pred"] for r in knn.fit_model(df, knn.Params(k)).transform(asked).collect()}
     assert pred(2) == {10: 1, 11: -1, 12: -1}  # a tie goes to the nearest, no neighbour is -1
     assert pred(99)[10] == 1  # all four, two of each class
+    for block in (1, 2):
+        assert knn.neighbours(df, asked, 3, block=block).select("query", "rank", "neighbour").subtract(knn.neighbours(df, asked, 3).select("query", "rank", "neighbour")).count() == 0
+        assert {r["id"]: r["pred"] for r in knn.fit_model(df, knn.Params(2, block)).transform(asked).collect()} == pred(2)
 
 
 def test_tree_with_mass_at_an_edge_and_the_same_labels_for_any_partitions(spark):
@@ -112,6 +117,8 @@ def test_perceptron_drops_the_tail_and_learns(spark):
     model = mlp.fit(df, ["a", "b"], ["id"], mlp.Params(epochs=6, lr=0.1, hidden=(16, 8)))
     assert model.epoch_loss[-1] < model.epoch_loss[0]
     assert evaluate.metrics(model.transform(df)).first()["accuracy"] > 0.85
+    small = mlp.Model(model.features, model.weights, [], 7).transform(df).select("id", F.col("logit").alias("small"))
+    assert small.join(model.transform(df), "id").where("abs(small - logit) > 1e-9").count() == 0 and small.count() == len(rows)
 
 
 def test_gradient_equals_finite_differences():

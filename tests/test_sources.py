@@ -5,7 +5,7 @@ import json
 import pytest
 
 from orrery import cli, harness
-from orrery.operators import benchmark, encode, prep
+from orrery.operators import benchmark, encode, knn, prep
 from orrery.sources import logs, tables
 
 
@@ -190,3 +190,13 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     cli.main(["ingest", log, f"{tmp_path}/missing.log", "--append", f"{tmp_path}/res", "--json", f"{tmp_path}/res.json"])
     assert len(json.loads((tmp_path / "res.json").read_text())) == 3
     assert cli.params_of("svm", ["x", "0.5"]).lr == 0.5
+
+
+def test_block_sizes_come_from_the_environment(monkeypatch):
+    assert [harness.block_of("B", 9, {"B": v}) for v in ("4", "0", "-1", "x", "")] == [4, 9, 9, 9, 9] and harness.block_of("B", 9, {}) == 9
+    for name in ("KNN_BLAS_BLOCK", "MLP_BLAS_BLOCK"):
+        monkeypatch.delenv(name, raising=False)
+    assert (cli.params_of("knn", ["5"]).block, cli.params_of("mlp", []).block) == (256, 512)
+    monkeypatch.setenv("KNN_BLAS_BLOCK", "64")
+    monkeypatch.setenv("MLP_BLAS_BLOCK", "32")
+    assert cli.params_of("knn", ["5"]) == knn.Params(5, 64) and cli.params_of("mlp", []).block == 32
