@@ -28,8 +28,9 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs but the rows in gone, without their number."""
-    return docs.join(gone, ROW, "left_anti").drop(ROW)
+    """docs but the rows in gone, without their number. gone is written, so that its size is known: while the numbers are few
+    enough to be broadcast, no text is shuffled."""
+    return docs.join(common.written(gone, "gone"), ROW, "left_anti").drop(ROW)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

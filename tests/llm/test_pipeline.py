@@ -170,3 +170,11 @@ def test_empty_documents_give_no_sequences(spark, tmp_path):
         assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     except ValueError as e:
         assert "label" in str(e)  # no labelled document to train on
+
+
+def test_few_rows_are_taken_out_without_a_shuffle_of_texts(spark):
+    rows = corpus_pipeline.numbered(spark.createDataFrame([(i, "some text") for i in range(9)], "doc_id long, text string").coalesce(1))
+    gone = spark.range(10_000_000).where("id % 9999999 = 3").select(F.col("id").alias(corpus_pipeline.ROW))  # few rows, of unknown size before
+    left = corpus_pipeline.without(rows, gone)
+    assert sorted(r[0] for r in left.collect()) == [0, 1, 2, 4, 5, 6, 7, 8] and left.columns == ["doc_id", "text"]
+    assert "SortMergeJoin" not in (plan := left._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning" not in plan
