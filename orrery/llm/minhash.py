@@ -185,7 +185,7 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percen
                         links.append(i)
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in links], pa.int64()) for x in ids], names=["a", "b"])
 
-    sig = reps.select("rep", "sig")
+    sig = signatures_of(reps, pairs.select(F.explode(F.array("a", "b")).alias("rep")))
     both = common.skew_join(pairs, sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     kept = common.written(both.mapInArrow(screen, "a long, b long"), "survivors")
     texts = texts_of(docs, kept.select(F.explode(F.array("a", "b")).alias("rep")))
@@ -195,6 +195,12 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percen
     return common.written(full.mapInArrow(compare, "a long, b long"), "links")
 
 
+def signatures_of(reps: DataFrame, asked: DataFrame) -> DataFrame:
+    """(rep, sig) of the classes in asked (rep), whose numbers are written: while these are few enough to be broadcast, the
+    signatures of the others aren't shuffled."""
+    return reps.select("rep", "sig").join(common.written(asked.distinct(), "asked"), "rep", "left_semi")
+
+
 def texts_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(rep, text), written, of the documents in reps (rep); a row for each text of a shared doc_id."""
     found = docs.select(F.col("doc_id").alias("rep"), "text").join(reps.distinct(), "rep", "left_semi")
@@ -263,7 +269,7 @@ def screened(dealt: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     (side 1) with the left members that it is to be compared with, and each of those left members (side 0) once. Only
     signatures are dealt out for it, no texts."""
     least = least_matches(percent / 100)
-    sent = dealt.join(reps.select("rep", "sig"), "rep")
+    sent = dealt.join(signatures_of(reps, dealt.select("rep")), "rep")
     sent = sent.repartition(common.row_parallelism(dealt.sparkSession), "key", "line", "column").sortWithinPartitions("key", "line", "column", "side")
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from orrery.llm import minhash
 
 
@@ -30,3 +32,11 @@ def test_members_left_apart_by_stars_equal_brute_force(spark, monkeypatch):
     found = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), k=2)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()} == {d: (len(sets[d]), least[d]) for d in sets}
     assert len(set(least.values())) > 5
+
+
+def test_signatures_of_classes_outside_all_pairs_are_not_shuffled(spark):
+    reps = spark.createDataFrame([(i, bytes([i])) for i in range(9)], "rep long, sig binary")
+    asked = spark.range(10_000_000).where("id % 9999999 = 3").select(F.col("id").alias("rep"))
+    found = minhash.signatures_of(reps, asked.union(asked))
+    assert [tuple(r) for r in found.collect()] == [(3, bytearray([3]))]
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
