@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from orrery import storage
 from orrery.operators import blocks, boosted, exact_tree, hinge_sgd, knn, mlp, order_keys, ordering, sequences, tree
 
 
@@ -88,6 +89,25 @@ def test_exact_tree_equals_all_cuts(spark, size):
     assert model.transform(df).where("pred is null").count() == 0
 
 
+@pytest.mark.parametrize("size, few", [(37, 2), (5, 2), (200, 30), (37, 0)])
+def test_exact_tree_with_heavy_values_equals_all_cuts(spark, size, few):
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(300, 3)).astype(np.float32)
+    x[draw.random(300) < 0.5, 0], x[:100, 1], x[:, 2] = 0.25, -0.0, np.round(x[:, 2], 1)
+    y = np.where(x[:, 0] + x[:, 1] * x[:, 2] > 0.2, 1, -1)
+    df = spark.createDataFrame([(*map(float, r), int(t)) for r, t in zip(x, y)], "a float, b float, c float, y int").repartition(3)
+    model = exact_tree.fit(df, ["a", "b", "c"], tree.Params(max_depth=4), range_rows=size, few=few)
+    assert nested(model.nodes) == plain_exact(x.astype(float), y, 4)
+
+
+def test_exact_tree_writes_and_deals_no_values_level_by_level(spark, monkeypatch):
+    rows, df = table(spark, 400)
+    written, write = [], storage.written
+    monkeypatch.setattr(storage, "written", lambda df, name: written.append(name) or write(df, name))
+    model = exact_tree.fit(df, ["a", "b", "c"], tree.Params(max_depth=3), range_rows=37)
+    assert max(n.depth for n in model.nodes) == 3 and len(written) <= 1
+
+
 def test_trees_of_no_rows_and_null_features(spark):
     none = spark.createDataFrame([], "a float, y int")
     some = spark.createDataFrame([(1.0,), (None,), (float("nan"),)], "a float")
@@ -132,6 +152,33 @@ def test_hinge_descent_equals_numpy(spark, parts):
     assert hinge_sgd.fit(df.where("false"), ["a"], ["id"]).weights == [0.0]
 
 
+@pytest.mark.parametrize("noise", [0.0, 2.0])
+def test_looking_ahead_takes_the_same_steps(noise):
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(3000, 4)).astype(np.float32)
+    y = np.where(3 * x[:, 0] + noise * draw.normal(size=3000) > 0.1, 1, -1).astype(np.int8)
+    w, b = np.zeros(4), 0.0
+    for row, t in zip(x.astype(float), y.astype(float)):
+        active = t * (row @ w + b) < 1
+        w, b = (1 - 0.02 * 1e-4) * w + (0.02 * t * row if active else 0), b + (0.02 * t if active else 0)
+    found = hinge_sgd.steps(x, y, np.zeros(4), 0.0, hinge_sgd.Params())
+    assert np.allclose(found[0], w, rtol=0, atol=1e-12) and found[1] == pytest.approx(b)
+
+
+@pytest.mark.parametrize("workers, batch", [(1, 1), (3, 1), (2, 7)])
+def test_blocks_of_a_worker_are_whole_and_in_order(spark, monkeypatch, workers, batch):
+    monkeypatch.setattr(blocks, "ROWS", 64)
+    rows, df = table(spark, 700)
+    by_id, order = {r[0]: r for r in rows}, in_order(df, ["id"])
+    told = sequences.dealt(df, ["a"], ["id"], workers, batch=batch)
+    assert told.rows == 700
+    for worker in range(workers):
+        mine = [by_id[i] for at, i in enumerate(order) if at % (batch * workers) // batch == worker]
+        found = list(told.blocks(worker, 42, 0))
+        assert np.concatenate([x[:, 0] for x, _ in found]).tolist() == [np.float32(r[1]) for r in mine]
+        assert np.concatenate([y for _, y in found]).tolist() == [r[4] for r in mine] and max(len(y) for _, y in found) <= 64
+
+
 @pytest.mark.parametrize("workers", [1, 3])
 def test_minibatches_equal_numpy_and_can_go_on(spark, workers, tmp_path):
     _, df = table(spark, 1000)
